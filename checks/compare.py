@@ -69,9 +69,11 @@ def main(folder: str, wanted: list[str]) -> int:
     from tallyloom.session import local_session
 
     sections = [w for w in wanted if w in SECTIONS]
-    for s in sections or SECTIONS:
+    named = [w for w in wanted if w not in SECTIONS]
+    for s in SECTIONS if named or not sections else sections:
         importlib.import_module(f"checks.{s}")
-    names = [w for w in wanted if w not in SECTIONS] or list(registry.QUERIES)
+    names = named or [n for n, f in registry.QUERIES.items()
+                      if not sections or f.__module__.rpartition(".")[2] in sections]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

@@ -71,9 +71,10 @@ def pivot_daily(spark, sf):
     return i.rounded(r.pivot_daily(i.order_cells(spark, sf), i.PRIORITIES), 2)
 
 
-@query("unpivot_daily", day_sql(f"""
-UNPIVOT INCLUDE NULLS (SELECT date, {_pivot()} FROM cells GROUP BY date)
-ON {', '.join(f'"{p}"' for p in i.PRIORITIES)} INTO NAME line VALUE value""", "cells"))
+@query("unpivot_daily", day_sql("""
+SELECT d.date, l.line, c.value
+FROM (SELECT DISTINCT date FROM cells) d CROSS JOIN (SELECT DISTINCT line FROM cells) l
+LEFT JOIN cells c ON c.date = d.date AND c.line = l.line""", "cells"))
 def unpivot_daily(spark, sf):
     return r.unpivot_daily(r.pivot_daily(i.order_cells(spark, sf), i.PRIORITIES), i.PRIORITIES)
 
