@@ -250,4 +250,4 @@ def anomaly_summary(scored: DataFrame, soft: float = 2.0, limit: float = 3.0) ->
 def anomaly_crosstab(classed: DataFrame) -> DataFrame:
     """Anomalies by weekend flag and kind; absent combinations are zero."""
     return (anomalies(classed).groupBy("is_weekend").pivot("anomaly_type", [DROP, SPIKE])
-            .agg(F.count("*")).na.fill(0).orderBy("is_weekend"))
+            .agg(F.count(F.lit(1))).na.fill(0).orderBy("is_weekend"))

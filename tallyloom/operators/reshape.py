@@ -81,8 +81,10 @@ def interpolate_time(dense: DataFrame, limit: int = 3, inside: bool = True) -> D
     With ``inside`` nothing is filled before the first or after the last known day;
     without it the last value is also carried forward, up to the limit.
     """
-    by_date = Window.partitionBy("line").orderBy("date")
-    by_date_back = Window.partitionBy("line").orderBy(F.desc("date"))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    by_date = Window.partitionBy("line").orderBy("date").rowsBetween(*upto)
+    # the same growing frame from the other end: a frame that shrinks is quadratic
+    by_date_back = Window.partitionBy("line").orderBy(F.desc("date")).rowsBetween(*upto)
     known = F.when(F.col("value").isNotNull(), F.struct("date", "value"))
     found = dense.withColumn("_p", F.last(known, ignorenulls=True).over(by_date)).withColumn(
         "_n", F.last(known, ignorenulls=True).over(by_date_back))
