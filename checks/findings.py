@@ -142,7 +142,7 @@ def _num(n, d=0):
 
 
 def _signed(expr):
-    return f"format('{{:+,.1f}}%', round(round({expr}, 5), 1) + 0.0)"
+    return f"format('{{:+.1f}}%', round(round({expr}, 5), 1) + 0.0)"
 
 
 FINDINGS = [

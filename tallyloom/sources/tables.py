@@ -47,13 +47,22 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _filled(df: DataFrame, side: str) -> DataFrame:
+    """Non-null cells per column, from one pass."""
+    counts = df.agg(*[F.count(F.col(c)).alias(f"n_{k}") for k, c in enumerate(df.columns)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"n_{k}").alias(f"filled_{side}"))
+        for k, c in enumerate(df.columns)])))
+
+
 def schema_check(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row per column seen on either side, with where it is missing."""
-    names = sorted(set(left.columns) | set(right.columns))
-    rows = [(n, n in left.columns, n in right.columns) for n in names]
-    return left.sparkSession.createDataFrame(
-        rows, "column_name string, in_left boolean, in_right boolean"
-    ).withColumn("matches", F.col("in_left") & F.col("in_right"))
+    """One row per column seen on either side: where it is missing, and how many cells a
+    missing partner would concern."""
+    return (_filled(left, "left").join(_filled(right, "right"), "column_name", "full")
+            .select("column_name", F.col("filled_left").isNotNull().alias("in_left"),
+                    F.col("filled_right").isNotNull().alias("in_right"),
+                    "filled_left", "filled_right")
+            .withColumn("matches", F.col("in_left") & F.col("in_right")))
 
 
 def require_same_columns(left: DataFrame, right: DataFrame) -> None:
