@@ -93,8 +93,18 @@ def unit_filter(df: DataFrame, unit: str) -> DataFrame:
     return df.where(F.col("unit") == unit)
 
 
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns behind a generator.
+
+    A plain projection is folded into every later filter and expression that mentions the
+    column, and text would be parsed once for each of them.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(fields)))
+
+
 def with_date(df: DataFrame, formats: Sequence[str] = DAY_FIRST) -> DataFrame:
-    return df.withColumn("date", parse_day(F.col("date_raw"), formats))
+    return evaluated_once(df, date=parse_day(F.col("date_raw"), formats))
 
 
 def parse_dates(df: DataFrame, formats: Sequence[str] = DAY_FIRST) -> DataFrame:
@@ -125,7 +135,7 @@ def date_summary(df: DataFrame) -> DataFrame:
 
 
 def clean_numeric(df: DataFrame, text: str = "qty_raw", out: str = "qty") -> DataFrame:
-    return df.withColumn(out, parse_number(F.col(text)))
+    return evaluated_once(df, **{out: parse_number(F.col(text))})
 
 
 def numeric_report(df: DataFrame, text: str = "qty_raw") -> DataFrame:
@@ -216,48 +226,44 @@ def _neighbours(items: DataFrame, levels: Sequence[str], order: Sequence[str]) -
     of the level above, so no window grows with the size of a series.
     """
     here = Window.partitionBy(*levels)
-    ahead = here.orderBy(*[F.asc(c) for c in order])
-    back = here.orderBy(*[F.desc(c) for c in order])
-    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
-    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = here.orderBy(*[F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    # the rest of the group, read from its end: a shrinking frame would be quadratic
+    back = here.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     known = F.col("fv").isNotNull()
 
-    def zero(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0)).cast("bigint")
-
-    items = items.withColumns({
-        "_start": zero(F.sum("n").over(before)), "_rest": zero(F.sum("n").over(after))})
-    items = items.withColumns({
-        "prev_value": F.last("lv", ignorenulls=True).over(before),
-        "_prev_left": F.last(F.when(known, F.col("_rest") + F.col("tail")),
-                             ignorenulls=True).over(before),
-        "next_value": F.last("fv", ignorenulls=True).over(after),
-        "_next_left": F.last(F.when(known, F.col("_start") + F.col("lead")),
-                             ignorenulls=True).over(after)})
-    span = F.col("_start") + F.col("n")
     items = items.withColumns({
+        "_start": F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("bigint"),
+        "_size": F.sum("n").over(here)})
+    end = F.col("_start") + F.col("n")
+    first_known = F.when(known, F.col("_start") + F.col("lead"))
+    past_known = F.when(known, end - F.col("tail"))
+    scanned = items.withColumns({
+        "prev_value": F.last("lv", ignorenulls=True).over(ahead),
         # rows strictly between the known neighbour and this item
-        "prev_gap": F.col("_prev_left") - F.col("_rest") - F.col("n"),
-        "next_gap": F.col("_next_left") - span}).drop("_prev_left", "_next_left")
+        "prev_gap": F.col("_start") - F.last(past_known, ignorenulls=True).over(ahead)})
+    scanned = scanned.withColumns({
+        "next_value": F.last("fv", ignorenulls=True).over(back),
+        "next_gap": F.last(first_known, ignorenulls=True).over(back) - end})
 
     if len(levels) > 1:
         outer, inner = list(levels[:-1]), levels[-1]
-        groups = items.groupBy(*levels).agg(
-            F.min_by("fv", F.when(known, F.col("_start"))).alias("fv"),
-            F.max_by("lv", F.when(known, F.col("_start"))).alias("lv"),
-            F.min(F.when(known, F.col("_start") + F.col("lead"))).alias("lead"),
-            F.min(F.when(known, F.col("_rest") + F.col("tail"))).alias("tail"),
-            F.sum("n").alias("n"))
+        # the same filter as the join below implies, so that its exchange can be reused
+        groups = items.where(all_of([F.col(c).isNotNull() for c in levels])).groupBy(
+            *levels).agg(
+            F.min_by("fv", first_known).alias("fv"), F.max_by("lv", past_known).alias("lv"),
+            F.min(first_known).alias("lead"),
+            (F.max("_size") - F.max(past_known)).alias("tail"), F.max("_size").alias("n"))
         outside = _neighbours(groups, outer, [inner]).select(
             *levels, *[F.col(c).alias(f"_o_{c}") for c in
                        ("prev_value", "prev_gap", "next_value", "next_gap")])
-        items = items.join(outside, list(levels), "left").withColumns({
+        scanned = scanned.join(outside, list(levels), "left").withColumns({
             "prev_gap": F.coalesce("prev_gap", F.col("_o_prev_gap") + F.col("_start")),
             "prev_value": F.coalesce("prev_value", "_o_prev_value"),
-            "next_gap": F.coalesce("next_gap", F.col("_o_next_gap") + F.col("_rest")),
+            "next_gap": F.coalesce("next_gap",
+                                   F.col("_o_next_gap") + F.col("_size") - end),
             "next_value": F.coalesce("next_value", "_o_next_value")})
-        items = items.drop(*[c for c in items.columns if c.startswith("_o_")])
-    return items.drop("_start", "_rest")
+        scanned = scanned.drop(*[c for c in scanned.columns if c.startswith("_o_")])
+    return scanned.drop("_start", "_size")
 
 
 def interpolate_rows(df: DataFrame, value: str = "qty", series: str = "vehicle",
@@ -281,7 +287,9 @@ def interpolate_rows(df: DataFrame, value: str = "qty", series: str = "vehicle",
     between = F.col("prev_value") + (
         (F.coalesce("next_value", "prev_value") - F.col("prev_value"))
         * step / (step + F.coalesce(F.col("next_gap"), F.lit(0)) + 1))
-    filled = F.coalesce(F.col(value), F.when(step <= limit, between))
+    # rows of no series belong to no group, and their value is lost
+    filled = F.when(F.col(series).isNotNull(),
+                    F.coalesce(F.col(value), F.when(step <= limit, between)))
     return items.withColumn(value, filled).select(*df.columns)
 
 

@@ -1,11 +1,12 @@
-"""Exact quantiles that never gather a whole column or group in one task.
+"""Exact quantiles that never gather a whole column or a hot group in one task.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer.  Here
-the wanted ranks are located by counting instead: a coarse monotone bucket of the value,
-then a fine bucket inside the hit buckets, then the distinct values inside those.  Each
-step is a partial aggregation followed by a cumulative count over a few thousand rows.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer, so it is
+used for groups of at most ``BUFFER_ROWS`` rows.  In larger groups the wanted ranks are
+located by counting: a coarse monotone bucket of the value, then a fine bucket inside the
+hit buckets, then the distinct values inside those.  Each step is a partial aggregation
+followed by a cumulative count over a few thousand rows.
 
-Use the built-in for daily series, whose groups are bounded by the calendar.
+Daily series are bounded by the calendar and call the built-in directly.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import all_of
+
 COARSE_PER_EFOLD = 256    # buckets per factor e of the value
 FINE_BUCKETS = 65536      # buckets inside a coarse one
+BUFFER_ROWS = 1 << 20     # rows of a group that may share one buffer
 
 
 def _coarse(value: Column) -> Column:
@@ -41,25 +45,34 @@ def _hits(hist: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    keys: Sequence[str] = ()) -> DataFrame:
+                    keys: Sequence[str] = (), buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """One row per key (one row in all without keys); a column per entry of ``probs``.
 
     Linear interpolation between the two neighbouring order statistics.
     """
-    keys = list(keys)
+    groups = list(keys)
     source = df.select(*keys, F.col(value).cast("double").alias("_v"))
     source = source.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if keys:
-        # hot values collapse map-side, so the joins below see distinct values only
-        source = source.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    else:
-        # one group, named by a constant, keeps every window below partitioned
-        source = source.withColumns({"_all": F.lit(0), "_c": F.lit(1)})
-    groups = keys or ["_all"]
+    if not groups:              # one group, named by a constant
+        source, groups = source.withColumn("_all", F.lit(0)), ["_all"]
+        return _by_counting(source, probs, groups).drop("_all")
+    source = source.where(all_of([F.col(g).isNotNull() for g in groups]))
+    # at most one hot group per buffer_rows rows of the table: a proven bound
+    hot = F.broadcast(source.groupBy(*groups).agg(F.count("*").alias("_n"))
+                      .where(F.col("_n") > buffer_rows).select(*groups))
+    marks = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
+    buffered = (source.join(hot, groups, "left_anti").groupBy(*groups)
+                .agg(marks.alias("_q"))
+                .select(*groups, *[F.col("_q")[k].alias(n) for k, n in enumerate(probs)]))
+    counted = _by_counting(source.join(hot, groups, "left_semi"), probs, groups)
+    return buffered.unionByName(counted)
+
+
+def _by_counting(source: DataFrame, probs: Mapping[str, float],
+                 groups: Sequence[str]) -> DataFrame:
     source = source.withColumn("_b", _coarse(F.col("_v")))
-
     hist = source.groupBy(*groups, "_b").agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     last = F.sum("_n").over(Window.partitionBy(*groups)) - 1
     wanted = []
     for p in probs.values():
@@ -67,20 +80,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
     hist = (hist.withColumn("_last", last)
             .withColumn("_ranks", F.array_distinct(F.array(*wanted)))
             .withColumn("_base", F.lit(0).cast("bigint")))
-    coarse = _hits(hist, groups, "_b").drop("_n")
-    # without keys at most two buckets per probability are left
-    coarse = coarse if keys else F.broadcast(coarse)
+    # at most two buckets per probability are left of each hot group
+    coarse = F.broadcast(_hits(hist, groups, "_b").drop("_n"))
     inside = source.join(coarse, [*groups, "_b"]).withColumn("_f", _fine(F.col("_v")))
 
-    bucket = [*groups, "_b"]
-    carried = ["_base", "_ranks", "_last"]
+    bucket, carried = [*groups, "_b"], ["_base", "_ranks", "_last"]
     hist = inside.groupBy(*bucket, "_f").agg(
-        F.sum("_c").alias("_n"), *[F.any_value(c).alias(c) for c in carried])
-    fine = _hits(hist, bucket, "_f").select(*bucket, "_f", *carried)
-    fine = fine if keys else F.broadcast(fine)
+        F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in carried])
+    fine = F.broadcast(_hits(hist, bucket, "_f").select(*bucket, "_f", *carried))
     values = (inside.drop(*carried).join(fine, [*bucket, "_f"])
               .groupBy(*bucket, "_f", "_v")
-              .agg(F.sum("_c").alias("_n"), *[F.any_value(c).alias(c) for c in carried]))
+              .agg(F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in carried]))
     found = _hits(values, [*bucket, "_f"], "_v").select(
         *groups, "_v", "_last", F.explode("_ranks").alias("_r"))
 
@@ -89,6 +99,5 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
         at = F.col("_last") * F.lit(p)
         low = F.max(F.when(F.col("_r") == F.floor(at), F.col("_v")))
         high = F.max(F.when(F.col("_r") == F.ceil(at), F.col("_v")))
-        part = F.max(at - F.floor(at))
-        outputs.append((low + (high - low) * part).alias(name))
-    return found.groupBy(*groups).agg(*outputs).drop("_all")
+        outputs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return found.groupBy(*groups).agg(*outputs)
