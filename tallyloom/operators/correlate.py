@@ -66,8 +66,6 @@ def _paired(measure: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
         block = group["block"].to_numpy()
         lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "n": [], "r": []})
         n, r = measure(x, m, left, right)
         i, j = np.meshgrid(left, right, indexing="ij")
         a, b, n, r = names[i.ravel()], names[j.ravel()], n.ravel(), r.ravel()
@@ -75,9 +73,9 @@ def _paired(measure: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
             once = a < b
             a, b, n, r = a[once], b[once], n[once], r[once]
         swap = a > b
-        out = pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b),
-                            "n": n.astype("int64"), "r": r})
-        return out.astype({"r": object}).where(out["r"].notna(), None)
+        # an undefined measure is NaN here and becomes null on the way back
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b),
+                             "n": n.astype("int64"), "r": r})
     return run
 
 
