@@ -199,9 +199,7 @@ SELECT t.date, v.event, t.value,
 FROM total t JOIN (VALUES {', '.join(f"(DATE '{d}', '{n}')" for d, n in DAYS)}) AS v(date, event)
   USING (date) CROSS JOIN (SELECT avg(value) AS m FROM total) a""", "total"))
 def holiday_vs_mean(spark, sf):
-    days = spark.createDataFrame([(dt.date.fromisoformat(d), n) for d, n in DAYS],
-                                 "date date, event string")
-    return e.holiday_vs_mean(i.total(spark, sf), days)
+    return e.holiday_vs_mean(i.total(spark, sf), dimensions.listed_days(spark, DAYS))
 
 
 IMPACT = f"""

@@ -1,7 +1,7 @@
 """Dimension tables: small, given as rows, so their size is known before planning.
 
 They become local relations; the planner broadcasts them because it knows how small they
-are, and falls back to a shuffle join by itself should a caller pass a large one.
+are, and takes a shuffle join by itself should a caller pass a large one.
 """
 
 from __future__ import annotations
@@ -9,8 +9,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # --- fixed values: these must equal the published analysis ---------------------------
 
@@ -96,12 +99,26 @@ HOLIDAY_COLUMNS = ("holiday string, ds date, lower_window int, upper_window int,
                    "prior_scale double")
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A local relation.
+
+    Rows handed over as a list become a scan of unknown size, which the planner would join
+    by shuffling the large side; an Arrow table keeps its size.
+    """
+    schema = T._parse_datatype_string(ddl)
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    table = pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)],
+                     schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def _day(text: str) -> dt.date:
     return dt.date.fromisoformat(text)
 
 
 def mapping(spark: SparkSession, pairs: Mapping[str, str], key: str, item: str) -> DataFrame:
-    return spark.createDataFrame(list(pairs.items()), f"{key} string, {item} string")
+    return local_table(spark, list(pairs.items()), f"{key} string, {item} string")
 
 
 def line_map(spark: SparkSession, pairs: Mapping[str, str] = LINE_OF_VEHICLE) -> DataFrame:
@@ -115,14 +132,14 @@ def mode_map(spark: SparkSession,
 
 
 def lag_pairs(spark: SparkSession, pairs: Sequence[tuple[str, str]] = LAG_PAIRS) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "line_a string, line_b string")
+    return local_table(spark, list(pairs), "line_a string, line_b string")
 
 
 def holidays(spark: SparkSession, groups: Sequence[tuple] = HOLIDAYS) -> DataFrame:
     """One row per holiday date; groups are ``(name, dates, lower, upper[, prior])``."""
     rows = [(g[0], _day(d), g[2], g[3], float(g[4]) if len(g) > 4 else 10.0)
             for g in groups for d in g[1]]
-    return spark.createDataFrame(rows, HOLIDAY_COLUMNS)
+    return local_table(spark, rows, HOLIDAY_COLUMNS)
 
 
 def yearly_holidays(spark: SparkSession, rules: Sequence[tuple], first_year: int,
@@ -132,12 +149,17 @@ def yearly_holidays(spark: SparkSession, rules: Sequence[tuple], first_year: int
     rows = [(name, dt.date(year, m, d), lower, upper, float(prior))
             for name, days, lower, upper, prior in rules
             for year in range(first_year, last_year + 1) for m, d in days]
-    return spark.createDataFrame(rows, HOLIDAY_COLUMNS)
+    return local_table(spark, rows, HOLIDAY_COLUMNS)
 
 
 def events(spark: SparkSession, windows: Sequence[tuple[str, str, str]] = EVENTS) -> DataFrame:
     rows = [(name, _day(a), _day(b)) for name, a, b in windows]
-    return spark.createDataFrame(rows, "event string, start_date date, end_date date")
+    return local_table(spark, rows, "event string, start_date date, end_date date")
+
+
+def listed_days(spark: SparkSession, days: Sequence[tuple[str, str]]) -> DataFrame:
+    """Days with a name, as ``(date, event)``."""
+    return local_table(spark, [(_day(d), name) for d, name in days], "date date, event string")
 
 
 def events_for(spark: SparkSession, total: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import safe_corr, zero_to_null
 
-BLOCK_LINES = 128
+BLOCK_LINES = 512       # two blocks of ten years of days take some 60 MB
 
 
 def _matrix(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

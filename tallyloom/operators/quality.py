@@ -279,7 +279,7 @@ def interpolate_rows(df: DataFrame, value: str = "qty", series: str = "vehicle",
     across the borders.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    items = (df.withColumn("_block", F.floor(F.col(seq) / F.lit(block_rows)))
+    items = (df.withColumn("_block", F.col(seq) - F.pmod(F.col(seq), F.lit(block_rows)))
              .withColumns({"n": one, "fv": F.col(value), "lv": F.col(value),
                            "lead": none, "tail": none}))
     items = _neighbours(items, [series, day, "_block"], [seq])
