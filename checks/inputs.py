@@ -143,7 +143,7 @@ def numbered(spark, sf):
 
 
 def interpolated(spark, sf):
-    return quality.interpolate_rows(numbered(spark, sf))
+    return quality.interpolate_rows(staged(numbered(spark, sf)))
 
 
 def resolved(spark, sf):

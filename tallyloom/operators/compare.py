@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import day_name, percent, percent_change, year_week, zero_to_null
+from .rows import attach_row
 
 
 def by_line():
@@ -59,12 +60,11 @@ def line_ranking(daily: DataFrame) -> DataFrame:
 def volatility_ranking(daily: DataFrame) -> DataFrame:
     """The ranking by relative deviation, with the two ends marked."""
     ranking = line_ranking(daily)
-    ends = ranking.agg(
-        F.max_by("line", F.struct("cv_pct", "line")).alias("hi"),
-        F.min_by("line", F.struct("cv_pct", "line")).alias("lo")).select(F.struct("*")).scalar()
-    role = (F.when(F.col("line") == ends.getField("hi"), "most_volatile")
-            .when(F.col("line") == ends.getField("lo"), "least_volatile").otherwise("middle"))
-    return ranking.select("line", "cv_pct", role.alias("role")).orderBy(
+    ends = ranking.agg(F.max_by("line", F.struct("cv_pct", "line")).alias("_hi"),
+                       F.min_by("line", F.struct("cv_pct", "line")).alias("_lo"))
+    role = (F.when(F.col("line") == F.col("_hi"), "most_volatile")
+            .when(F.col("line") == F.col("_lo"), "least_volatile").otherwise("middle"))
+    return attach_row(ranking, ends).select("line", "cv_pct", role.alias("role")).orderBy(
         F.desc("cv_pct"), F.desc("line"))
 
 

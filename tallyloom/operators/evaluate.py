@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import percent, safe_corr, whole_number
 from .events import histogram
 from .forecast import FORECAST, HORIZON, decompose, holiday_keys
+from .rows import attach_row
 
 PERIOD = 30
 
@@ -100,9 +101,7 @@ def residual_histogram(with_residuals: DataFrame, bins: int = 20) -> DataFrame:
     """Bins of the residuals, with their mean and deviation."""
     whole = with_residuals.agg(F.avg("residual").alias("mean"),
                                F.stddev_samp("residual").alias("std"))
-    row = whole.select(F.struct("*")).scalar()
-    return histogram(with_residuals, "residual", bins).withColumns(
-        {c: row.getField(c) for c in ("mean", "std")})
+    return attach_row(histogram(with_residuals, "residual", bins), whole)
 
 
 def _covered() -> Column:

@@ -16,6 +16,7 @@ from ..dimensions import UNKNOWN_EVENT
 from ..functions.columns import (day_name, is_weekend, percent, percent_change, whole_number,
                                  zero_to_null)
 from .compare import box_stats, by_date, by_line, full_window
+from .rows import attach_row
 
 SPIKE, DROP, NORMAL = "spike", "drop", "normal"
 
@@ -85,17 +86,16 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins between minimum and maximum; empty bins are listed."""
     # rounding keeps a value on a bin border in the same bin whatever the summation order
     v = F.round(F.col(value), 9)
-    ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    frame = ends.select("lo", width.alias("w"), F.explode(
-        F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).where(F.col("lo").isNotNull())
-    bounds = ends.select(F.struct(F.col("lo"), width.alias("w"))).scalar()
-    place = F.least(F.floor(F.coalesce(F.try_divide(
-        v - bounds.getField("lo"), bounds.getField("w")), F.lit(0.0))), F.lit(bins - 1))
-    counts = (df.where(F.col(value).isNotNull()).groupBy(place.cast("int").alias("bin"))
+    width = (F.max(v) - F.min(v)) / F.lit(float(bins))
+    ends = df.agg(F.min(v).alias("_lo"), width.alias("_w"))
+    frame = ends.where(F.col("_lo").isNotNull()).select(
+        "_lo", "_w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    place = F.floor(F.coalesce(F.try_divide(v - F.col("_lo"), F.col("_w")), F.lit(0.0)))
+    counts = (attach_row(df.where(F.col(value).isNotNull()).select(value), ends)
+              .groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
               .agg(F.count("*").alias("n")))
     return (frame.join(counts, "bin", "left")
-            .select("bin", (F.col("lo") + F.col("w") * F.col("bin")).alias("bin_start"),
+            .select("bin", (F.col("_lo") + F.col("_w") * F.col("bin")).alias("bin_start"),
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).orderBy("bin"))
 
 

@@ -68,13 +68,16 @@ def holiday_keys(holidays: DataFrame) -> DataFrame:
 
 def future_frame(train: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """The history and ``horizon`` days after it per line, with regressors."""
-    last = train.groupBy("line").agg(F.max("ds").alias("_last"))
-    ahead = last.select("line", F.explode(F.sequence(
-        F.date_add("_last", 1), F.date_add("_last", horizon))).alias("ds"))
-    history = train.select("line", "ds", "y", F.lit(False).alias("is_future"))
-    future = ahead.select("line", "ds", F.lit(None).cast("double").alias("y"),
-                          F.lit(True).alias("is_future"))
-    return with_regressors(history.unionByName(future))
+    by_day = Window.partitionBy("line").orderBy("ds")
+    newest = F.lead("ds").over(by_day).isNull()
+    until = F.when(newest, F.date_add("ds", horizon)).otherwise(F.col("ds"))
+    # the last row of a line is stretched over the horizon: one pass, and no join
+    frame = (train.select("line", F.col("ds").alias("_own"), F.col("y").alias("_y"),
+                          until.alias("_until"))
+             .select("line", "_own", "_y", F.explode(F.sequence("_own", "_until")).alias("ds")))
+    ahead = F.col("ds") > F.col("_own")
+    return with_regressors(frame.select(
+        "line", "ds", F.when(~ahead, F.col("_y")).alias("y"), ahead.alias("is_future")))
 
 
 def decompose(frame: DataFrame, keys: Sequence[str]) -> DataFrame:

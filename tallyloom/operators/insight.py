@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import is_weekend, percent, percent_change, whole_number, zero_to_null
+from .rows import attach_row
 
 
 def _line_levels(daily: DataFrame) -> DataFrame:
@@ -85,10 +86,9 @@ def key_metrics(daily: DataFrame, total: DataFrame, pairs: DataFrame, impact: Da
         _figure("lowest_cv_pct", F.col("low.cv_pct"), F.col("low.line")))
 
     weekend = F.weekday("date") >= 5
-    years = total.agg(F.struct(F.min(F.year("date")).alias("lo"),
-                               F.max(F.year("date")).alias("hi"))).scalar()
-    lo, hi = years.getField("lo"), years.getField("hi")
-    day_figures = total.agg(
+    years = total.agg(F.min(F.year("date")).alias("lo"), F.max(F.year("date")).alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    day_figures = attach_row(total, years).groupBy("lo", "hi").agg(
         F.avg(F.when(~weekend, F.col("value"))).alias("wd"),
         F.avg(F.when(weekend, F.col("value"))).alias("we"),
         F.avg(F.when(F.year("date") == lo, F.col("value"))).alias("y0"),
@@ -165,9 +165,9 @@ def insight_rows(metrics: DataFrame, policy: DataFrame) -> DataFrame:
              "model_coverage_pct", "model_direction_pct")
     row = metrics.agg(*[value(n).alias(n) for n in names],
                       *[label(n).alias(f"{n}_of") for n in names])
-    event = policy.agg(F.max_by("event", "impact_pct").alias("e"),
-                       F.max("impact_pct").alias("p")).select(F.struct("*")).scalar()
-    row = row.withColumns({"policy": event.getField("e"), "policy_pct": event.getField("p")})
+    event = policy.agg(F.max_by("event", "impact_pct").alias("policy"),
+                       F.max("impact_pct").alias("policy_pct"))
+    row = attach_row(row, event)
 
     def num(name: str, digits: int = 0) -> Column:
         text = F.format_number(F.round(F.round(F.col(name), digits + 4), digits), digits)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import DAY_FIRST, all_of, parse_day, parse_number, percent
 from ..sources.tables import RAW_COLUMNS
 from .quantiles import exact_quantiles
+from .rows import attach_row
 
 # ---------------------------------------------------------------- profiles
 
@@ -303,9 +304,8 @@ def describe(df: DataFrame, value: str = "qty") -> DataFrame:
     v = F.col(value)
     basic = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
                    F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    quartiles = exact_quantiles(df, value, QUARTILES).select(F.struct("*").alias("q")).scalar()
-    return basic.select("count", "mean", "std", "min",
-                        *[quartiles.getField(c).alias(c) for c in QUARTILES], "max")
+    return attach_row(basic, exact_quantiles(df, value, QUARTILES)).select(
+        "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def skew_flags(df: DataFrame, value: str = "qty") -> DataFrame:
@@ -380,9 +380,9 @@ def key_inventory(df: DataFrame, key: str = "vehicle", patterns: Sequence[str] =
     suspect = F.lit(False)
     for p in patterns:
         suspect = suspect | F.contains(F.col("item"), F.lit(p))
-    total = names.agg(F.count("*")).scalar()
-    return names.select("item", suspect.alias("suspect"), total.alias("distinct_items"),
-                        (total > many).alias("too_many")).orderBy("item")
+    counted = attach_row(names, names.agg(F.count("*").alias("distinct_items")))
+    return counted.select("item", suspect.alias("suspect"), "distinct_items",
+                          (F.col("distinct_items") > many).alias("too_many")).orderBy("item")
 
 
 def missing_days(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import day_name, is_weekend, percent, whole_number
+from .rows import attach_row
 
 TOTAL = "TOTAL"
 
@@ -63,12 +64,12 @@ def densify_daily(cells: DataFrame) -> DataFrame:
     frame stays partitioned by line for the windows that follow.
     """
     by_date = Window.partitionBy("line").orderBy("date")
-    ends = cells.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi")))
-    first, last = ends.scalar().getField("lo"), ends.scalar().getField("hi")
+    ends = cells.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
     opening = F.lag("date").over(by_date).isNull()
-    until = F.coalesce(F.date_sub(F.lead("date").over(by_date), 1), last)
-    return (cells.withColumns({"_from": F.when(opening, first).otherwise(F.col("date")),
-                               "_until": until})
+    until = F.coalesce(F.date_sub(F.lead("date").over(by_date), 1), F.col("_hi"))
+    return (attach_row(cells, ends)
+            .withColumns({"_from": F.when(opening, F.col("_lo")).otherwise(F.col("date")),
+                          "_until": until})
             .select("line", F.col("date").alias("_own"), F.col("value").alias("_value"),
                     F.explode(F.sequence("_from", "_until")).alias("date"))
             .select("date", "line",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import percent, percent_change
+from .rows import attach_row
 
 
 def by_mode(daily: DataFrame, modes: DataFrame) -> DataFrame:
@@ -65,8 +68,4 @@ def share_headline(daily: DataFrame, modes: DataFrame, old: int, new: int) -> Da
         F.col("mode").alias("fastest_mode"), F.col("growth_pct").alias("fastest_pct"))
     worst = first(growth, F.asc_nulls_last("growth_pct"), "mode").select(
         F.col("mode").alias("weakest_mode"), F.col("growth_pct").alias("weakest_pct"))
-    row = size
-    for part in (top, best, worst):     # one row each
-        fields = part.select(F.struct("*")).scalar()
-        row = row.withColumns({c: fields.getField(c) for c in part.columns})
-    return row
+    return reduce(attach_row, (top, best, worst), size)

@@ -39,7 +39,8 @@ def clean_rows(raw: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFr
     rows = quality.unit_filter(quality.drop_empty_rows(raw), rules.unit)
     rows = quality.parse_dates(rows, rules.date_formats)
     rows = quality.year_range_filter(rows, rules.first_year, rules.last_year)
-    rows = quality.interpolate_rows(quality.clean_numeric(rows), limit=rules.fill_limit)
+    # row interpolation reads its input for the rows and again for the summaries
+    rows = quality.interpolate_rows(staged(quality.clean_numeric(rows)), limit=rules.fill_limit)
     rows = quality.dedup_first(quality.drop_unresolved(rows))
     return quality.negative_filter(rows)
 
