@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from tallyloom.operators import evaluate as v
 from tallyloom.operators import forecast as f
+from tallyloom.session import staged
 
 from . import inputs as i
 from .detection import holidays
-from .forecasting import FC, LINES, fit_ctes, forecast, split, train
+from .forecasting import FC, LINES, fit_ctes, split, train
 from .registry import query, rnd, with_ctes
 
 EVAL = {
@@ -42,7 +43,14 @@ def ev(body: str, needs: str = "shifted") -> str:
 
 
 def joined(spark, sf):
-    return v.eval_join(f.test_part(split(spark, sf)), forecast(spark, sf))
+    # written once: training and test rows are two passes over the split
+    parts = staged(split(spark, sf))
+    predicted = f.forecast_lines(f.train_part(parts), holidays(spark))
+    return v.eval_join(f.test_part(parts), predicted)
+
+
+def errors_by_cutoff(spark, sf):
+    return v.cv_errors(staged(train(spark, sf)), holidays(spark))
 
 
 def clean(spark, sf):
@@ -146,7 +154,7 @@ def cv_cutoffs(spark, sf):
 @query("cv_errors", ev(
     f"SELECT line, cutoff, ds, horizon_day, {rnd('y', 4)} AS y, {FC} FROM cv", "cv"))
 def cv_errors(spark, sf):
-    return i.rounded(v.cv_errors(train(spark, sf), holidays(spark)))
+    return i.rounded(errors_by_cutoff(spark, sf))
 
 
 @query("cv_by_horizon", ev(f"""
@@ -155,7 +163,7 @@ SELECT line, horizon_day, CAST(count(*) AS BIGINT) AS n, {rnd('avg(abs(y - yhat)
   {rnd('avg(abs(y - yhat) / y) FILTER (y > 0) * 100', 4)} AS mape
 FROM cv GROUP BY ALL""", "cv"))
 def cv_by_horizon(spark, sf):
-    return i.rounded(v.cv_by_horizon(v.cv_errors(train(spark, sf), holidays(spark))))
+    return i.rounded(v.cv_by_horizon(errors_by_cutoff(spark, sf)))
 
 
 @query("residual_acf", ev(f"""

@@ -123,7 +123,7 @@ SELECT l.line, CAST(round(round(mean, 4)) AS BIGINT) AS mean_per_day, {rnd('cv_p
 FROM levels l LEFT JOIN ({SCORE}) s USING (line)""", "levels"))
 def line_dashboard(spark, sf):
     daily = staged(i.ship_daily(spark, sf))
-    split = f.train_test_split(f.forecast_frame(daily))
+    split = staged(f.train_test_split(f.forecast_frame(daily)))
     forecast = f.forecast_lines(f.train_part(split), holidays(spark))
     clean = evaluate.positive_only(evaluate.eval_join(f.test_part(split), forecast))
     return insight.line_dashboard(daily, evaluate.line_scorecard(clean))
@@ -182,7 +182,7 @@ FINDINGS = [
     f"'{w}' AS impact" for k, (t, e, c, w) in enumerate(FINDINGS, 1)), "named"))
 def insight_rows(spark, sf):
     daily, total = series(spark, sf)
-    split = f.train_test_split(f.forecast_frame(total))
+    split = staged(f.train_test_split(f.forecast_frame(total)))
     forecast = f.forecast_lines(f.train_part(split), holidays(spark))
     joined = evaluate.eval_join(f.test_part(split), forecast)
     score = evaluate.line_scorecard(evaluate.positive_only(joined))

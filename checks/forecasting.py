@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import forecast as f
 from tallyloom.operators.ridge import forecast_lines_ridge as ridge
+from tallyloom.session import staged
 
 from . import inputs as i
 from .detection import HOLIDAYS, holidays
@@ -184,7 +185,8 @@ JOIN (SELECT line, avg(y) AS r FROM (SELECT *, row_number() OVER (
         PARTITION BY line ORDER BY ds DESC) AS k FROM l_train) WHERE k <= 90 GROUP BY line)
 USING (line)"""))
 def forecast_vs_recent(spark, sf):
-    return f.forecast_vs_recent(forecast(spark, sf), train(spark, sf))
+    rows = staged(train(spark, sf))
+    return f.forecast_vs_recent(f.forecast_lines(rows, holidays(spark)), rows)
 
 
 @query("forecast_outlook_weekly", lines_sql("""

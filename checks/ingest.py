@@ -108,7 +108,8 @@ def head_rows(spark, sf):
     return q.head_rows(i.raw(spark, sf), ["ingest_seq"])
 
 
-@query("sample_rows")
+@query("sample_rows", raw_sql("""
+SELECT * FROM raw ORDER BY md5('42|' || CAST(ingest_seq AS VARCHAR)), ingest_seq LIMIT 5"""))
 def sample_rows(spark, sf):
     return q.sample_rows(i.raw(spark, sf), ["ingest_seq"])
 

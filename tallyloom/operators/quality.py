@@ -58,7 +58,8 @@ def head_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int = 5, seed: int = 42) -> DataFrame:
     """A repeatable sample of ``n`` rows: the smallest seeded hashes of the row key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(text), *keys).limit(n)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

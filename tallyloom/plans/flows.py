@@ -10,13 +10,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import dimensions as dim
 from ..functions.columns import DAY_FIRST
 from ..operators import evaluate, events, forecast, quality, reshape
 from ..session import staged
-from ..sources.tables import require_rows
+from ..sources.tables import (csv_header, require_rows, require_same_columns, scan_csv,
+                              union_sources, with_ingest_seq)
+
+
+def read_years(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Yearly CSV files as one numbered raw table.
+
+    The files must have the same columns.  The table is written, so text is read once and
+    later passes take only the columns they need.
+    """
+    first, *others = [csv_header(spark, p) for p in paths]
+    for other in others:
+        require_same_columns(first, other)
+    parts = [with_ingest_seq(scan_csv(spark, p), k) for k, p in enumerate(paths)]
+    return require_rows(staged(union_sources(*parts)), "input")
 
 
 @dataclass(frozen=True)

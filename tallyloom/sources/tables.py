@@ -38,6 +38,16 @@ def scan_csv(spark: SparkSession, paths: str | Sequence[str],
         F.col("_metadata.file_name").alias("source_file"))
 
 
+def with_ingest_seq(df: DataFrame, source: int = 0) -> DataFrame:
+    """Number the rows of one source, to decide which of several copies came first.
+
+    Sources keep their given order and rows that of their split.  Apply it to a scan and
+    write the result: the numbers belong to that reading of the files.
+    """
+    row = F.monotonically_increasing_id()
+    return df.withColumn("ingest_seq", F.lit(source).cast("bigint") * F.lit(1 << 50) + row)
+
+
 def csv_header(spark: SparkSession, path: str) -> DataFrame:
     """An empty frame carrying the column names of one file, for ``schema_check``."""
     return spark.read.option("header", True).csv(path).limit(0)

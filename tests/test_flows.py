@@ -65,3 +65,19 @@ def test_flows(spark, raw):
 def test_empty_input_is_an_error(spark, raw):
     with pytest.raises(ValueError):
         flows.to_daily(raw.where("false"), dim.line_map(spark))
+
+
+HEADER = "รูปแบบการเดินทาง,วัตถุประสงค์,สาธารณะ/ส่วนบุคคล,หน่วยงาน,ยานพาหนะ/ท่า,วันที่,หน่วย,ปริมาณ\n"
+
+
+def test_yearly_files(spark, tmp_path):
+    line = "ทางราง,p,สาธารณะ,รฟม.,รถไฟฟ้า BTS,01/01/2026,คน,{}\n"
+    for name, values in (("b.csv", ("1", "2")), ("a.csv", ("3",))):
+        (tmp_path / name).write_text(HEADER + "".join(line.format(x) for x in values), "utf-8")
+    table = flows.read_years(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")])
+    assert [r["qty_raw"] for r in table.orderBy("ingest_seq").collect()] == ["1", "2", "3"]
+    kept = flows.clean_rows(table).collect()
+    assert [r["qty"] for r in kept] == [1.0]
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n", "utf-8")
+    with pytest.raises(ValueError):
+        flows.read_years(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.csv")])
