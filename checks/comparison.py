@@ -14,9 +14,9 @@ SHIP_PAIRS = [("A-F", "N-O"), ("A-O", "R-F"), ("N-F", "R-O"), ("R-F", "A-F")]
 
 
 @query("daily_series", day_sql(
-    f"SELECT date, line, {rnd('value', 4)} AS value FROM daily", "daily"))
+    f"SELECT date, line, {rnd('value', 5)} AS value FROM daily", "daily"))
 def daily_series(spark, sf):
-    return i.rounded(c.daily_series(i.daily(spark, sf)))
+    return i.rounded(c.daily_series(i.daily(spark, sf)), 5)
 
 
 @query("base_index", day_sql(f"""

@@ -234,12 +234,12 @@ def peak_in_window(spark, sf):
 
 
 @query("anomaly_line_ratio", event_sql(f"""
-SELECT d.date, d.line, {rnd('d.value', 4)} AS value, {rnd('d.value / d.m', 4)} AS ratio, a.anomaly_type,
+SELECT d.date, d.line, {rnd('d.value', 5)} AS value, {rnd('d.value / d.m', 4)} AS ratio, a.anomaly_type,
   {rnd('a.z_score', 4)} AS z_score
 FROM (SELECT *, avg(value) OVER (PARTITION BY line) AS m FROM daily) d
 JOIN (SELECT date, anomaly_type, z_score FROM anomalies) a USING (date)""", "anomalies"))
 def anomaly_line_ratio(spark, sf):
-    return i.rounded(e.anomaly_line_ratio(i.daily(spark, sf), classed(spark, sf)))
+    return i.rounded(e.anomaly_line_ratio(i.daily(spark, sf), classed(spark, sf)), 4, value=5)
 
 
 @query("soft_anomaly", event_sql(f"""

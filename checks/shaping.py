@@ -94,23 +94,23 @@ def densify_daily(spark, sf):
 
 
 @query("interpolate_time", day_sql(
-    f"SELECT date, line, {rnd('value', 4)} AS value FROM timed", "timed"))
+    f"SELECT date, line, {rnd('value', 5)} AS value FROM timed", "timed"))
 def interpolate_time(spark, sf):
-    return i.rounded(r.interpolate_time(r.densify_daily(i.order_cells(spark, sf))))
+    return i.rounded(r.interpolate_time(r.densify_daily(i.order_cells(spark, sf))), 5)
 
 
 @query("interpolate_time_with_tail", day_sql(f"""
 SELECT date, line, {rnd('''CASE WHEN value IS NOT NULL THEN value
-  WHEN date - d0 <= 3 THEN coalesce(v0 + (v1 - v0) * (date - d0) / (d1 - d0), v0) END''', 4)} AS value
+  WHEN date - d0 <= 3 THEN coalesce(v0 + (v1 - v0) * (date - d0) / (d1 - d0), v0) END''', 5)} AS value
 FROM known""", "known"))
 def interpolate_time_with_tail(spark, sf):
-    return i.rounded(r.interpolate_time(r.densify_daily(i.order_cells(spark, sf)), inside=False))
+    return i.rounded(r.interpolate_time(r.densify_daily(i.order_cells(spark, sf)), inside=False), 5)
 
 
 @query("zero_fill", day_sql(
-    f"SELECT date, line, {rnd('value', 4)} AS value FROM daily", "daily"))
+    f"SELECT date, line, {rnd('value', 5)} AS value FROM daily", "daily"))
 def zero_fill(spark, sf):
-    return i.rounded(i.daily(spark, sf))
+    return i.rounded(i.daily(spark, sf), 5)
 
 
 @query("integrity_check", day_sql("""
@@ -127,12 +127,12 @@ def integrity_check(spark, sf):
 
 
 @query("calendar_features", day_sql(f"""
-SELECT date, line, {rnd('value', 4)} AS value, CAST(year(date) AS INTEGER) AS year,
+SELECT date, line, {rnd('value', 5)} AS value, CAST(year(date) AS INTEGER) AS year,
   CAST(month(date) AS INTEGER) AS month, dayname(date) AS day_of_week,
   CAST(isodow(date) - 1 AS INTEGER) AS dow,
   CAST(CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend FROM daily""", "daily"))
 def calendar_features(spark, sf):
-    return i.rounded(r.calendar_features(i.daily(spark, sf)))
+    return i.rounded(r.calendar_features(i.daily(spark, sf)), 5)
 
 
 @query("network_total", day_sql("SELECT date, line, value FROM total", "total"))
