@@ -141,7 +141,8 @@ def line_dashboard(daily: DataFrame, scorecard: DataFrame) -> DataFrame:
 
 def model_metrics(score: DataFrame, direction: DataFrame, line: str) -> DataFrame:
     """Model quality of one line as figures, to be united with ``key_metrics``."""
-    row = score.join(direction, "line").where(F.col("line") == line)
+    one = F.col("line") == line
+    row = attach_row(score.where(one), direction.where(one).select("direction_pct"))
     return _figures(row, _figure("model_mape", F.col("mape"), F.col("line")),
                     _figure("model_coverage_pct", F.col("coverage_pct"), F.col("line")),
                     _figure("model_direction_pct", F.col("direction_pct"), F.col("line")))
