@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import safe_corr, zero_to_null
+from ..session import ship_by_value
+
+ship_by_value(__name__)
 
 BLOCK_LINES = 512       # two blocks of ten years of days take some 60 MB
 

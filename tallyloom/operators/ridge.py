@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_by_value
 from .forecast import HORIZON, INTERVAL_Z, future_frame, holiday_regressors
 
+ship_by_value(__name__)
+
 KNOTS = 25
 KNOT_RANGE = 0.8
 TREND_SCALE = 0.05
