@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -34,17 +33,20 @@ def ship_by_value(module: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a fresh temporary folder; on a cluster a
-    machine-local path would be lost with its machine, so there it is an error.
+    Where the session names none, as in tests, a folder under the warehouse takes its
+    place: the warehouse is shared wherever tables are.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not configured:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        configured = f"{warehouse}/_stages"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+def new_folder(spark: SparkSession, kind: str = "stage") -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -63,6 +65,6 @@ def staged(df: DataFrame) -> DataFrame:
     lost executor costs a re-read.  The folder is left to the caller's clean-up policy.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
