@@ -5,16 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_counts
+from ..session import staged
+from . import byte_bpe, pii, quality, token_counts
 from .base import read
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def query(fn=None, *, sql: str | None = None):
+    """Register a query, and the SQL for its rows where there is one."""
+    def keep(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return keep(fn) if fn else keep
 
 
 @query
@@ -30,3 +39,43 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every text, and whether it exceeds 2,048."""
     return token_counts.token_counts(
         read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(sql=rf"""
+WITH d AS (SELECT *, row_number() OVER () AS k, coalesce(text, '') AS t, {WORDS} AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+           FROM documents),
+tri AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n
+        FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT k, count(DISTINCT i + o) AS n FROM tri, (VALUES (0), (1), (2)) v(o)
+        WHERE n > 1 GROUP BY k),
+m AS (SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+             len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines
+      FROM d LEFT JOIN rep USING (k)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             n_words < 50 OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+             OR 5 * n_repeat_words > n_words OR word_chars < 3 * n_words
+             OR word_chars > 12 * n_words AS soft FROM m),
+h AS (SELECT source AS host, count(*) AS n, count(*) FILTER (soft) AS failed
+      FROM f GROUP BY source),
+p AS (SELECT sum(failed) / sum(n) AS mean, sum(failed * (failed / n)) / sum(n) AS sq FROM h),
+q AS (SELECT mean, CASE WHEN sq - mean * mean > 1e-12
+             THEN least(greatest(mean * (1 - mean) / (sq - mean * mean) - 1, 1.0), 1000.0)
+             ELSE 1000.0 END AS strength FROM p),
+bad AS (SELECT host FROM h, q WHERE (failed + mean * strength) / (n + strength) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (soft AND EXISTS (
+           SELECT 1 FROM bad WHERE host IS NOT DISTINCT FROM source)) AS kept
+FROM f""")
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.report(read(spark, folder, "documents"), stage=staged)
+
+
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.digests(pii.find_pii(read(spark, folder, "documents")))
