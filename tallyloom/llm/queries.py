@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import staged
-from . import byte_bpe, pii, quality, token_counts
+from . import byte_bpe, pii, quality, simhash, token_counts
 from .base import read
 
 QUERIES = {}
@@ -34,6 +35,14 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.classes(read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every text, and whether it exceeds 2,048."""
