@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import byte_bpe, pii, quality, simhash, token_counts
-from .base import read
+from . import byte_bpe, mixing, pii, quality, simhash, token_counts
+from .base import read, small
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,20 @@ def query(fn=None, *, sql: str | None = None):
     return keep(fn) if fn else keep
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix takes, by weights 5, 2, 1."""
+    docs = mixing.word_counts(read(spark, folder, "documents")).select(
+        "doc_id", "source", "size")
+    docs = staged(docs)
+    targets = small(mixing.target_sizes(mixing.repeating_weights(docs, (5, 2, 1))))
+    mixed = mixing.mix(docs, targets)
+    side = targets.select(F.col("source").alias("s"), "source_size", "target")
+    return mixed.join(side, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "doc_id", "size", "source_size", "target",
+        (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again, as digests."""
