@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import byte_bpe, mixing, pii, quality, simhash, token_counts
+from . import byte_bpe, exact_dedup, mixing, pii, quality, simhash, token_counts
 from .base import read, small
 
 QUERIES = {}
@@ -64,6 +64,19 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(sql="""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)""")
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of equal texts, and the document of each that stays."""
+    found = exact_dedup.groups(read(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept",
+                        F.col("digest").alias("text_sha256"))
+
+
 @query(sql=rf"""
 WITH d AS (SELECT *, row_number() OVER () AS k, coalesce(text, '') AS t, {WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)),
