@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import byte_bpe, exact_dedup, mixing, pii, quality, simhash, token_counts
-from .base import read, small
+from . import byte_bpe, exact_dedup, mixing, pii, quality, sharding, simhash, token_counts
+from .base import read, small, text_of
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +111,18 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(read(spark, folder, "documents"), stage=staged)
 
 
+@query
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document, counts at most one apart."""
+    text = text_of()
+    docs = read(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"))
+    return sharding.assign(docs, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""
