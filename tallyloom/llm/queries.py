@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import byte_bpe, exact_dedup, mixing, pii, quality, sharding, simhash, token_counts
+from . import byte_bpe, exact_dedup, mixing, pii, quality, secrets, sharding, simhash, token_counts
 from .base import read, small, text_of
 
 QUERIES = {}
@@ -127,3 +127,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""
     return pii.digests(pii.find_pii(read(spark, folder, "documents")))
+
+
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text."""
+    return secrets.digests(secrets.find_secrets(read(spark, folder, "documents"),
+                                                stage=staged))
