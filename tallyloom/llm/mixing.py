@@ -211,3 +211,19 @@ def mix(docs: DataFrame, targets: DataFrame, *, source: str = "source", size: st
     for some in done:
         last = last.unionByName(some.select(*last.columns))
     return last.select(*own, (F.col(n["whole"]) + part.cast("bigint")).alias(copies))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *,
+                    source: str = "source", text: str = "text", seed: int = 42) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its own columns.
+
+    Sizes are words; sources weigh by their code points in turn, and targets share 150 %
+    of all words, at most twice a source's own.  Cases as in :func:`mix`.
+    """
+    size = unused(docs.columns, "_words")
+    copies = unused([*docs.columns, size], "_copies")
+    sized = word_counts(docs, text, size)
+    targets = small(target_sizes(repeating_weights(sized, weights, source=source, size=size)))
+    taken = mix(sized, targets, source=source, size=size, seed=seed, copies=copies)
+    times = F.array_repeat(F.lit(0), F.col(copies).cast("int"))
+    return taken.withColumn(size, F.explode(times)).select(*docs.columns)

@@ -43,11 +43,21 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 # ---------------------------------------------------------------- fingerprints
 
 
+def stirred(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes for a further lane: another 64 bits of each, by a mixing function."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprint(text: str, words: int = 3, lanes: int = 1) -> list[int]:
     """Lanes as signed 64-bit integers; zero for a text without words.
 
     Shingles are space-joined, repeats count, and fewer words than a shingle has are one
-    shingle.  Lane ``k`` uses seed 42 + k.
+    shingle.  Hashes are XXH64 with seed 42; further lanes mix them anew.
     """
     found = text.encode().translate(LOWER).split()
     if not found:
@@ -57,17 +67,16 @@ def fingerprint(text: str, words: int = 3, lanes: int = 1) -> list[int]:
     ends = list(accumulate(map(len, found), lambda a, b: a + b + 1))
     starts = [0, *[e + 1 for e in ends]]
     n = len(found) - words + 1
-    digest, out = xxhash.xxh64_intdigest, []
-    for lane in range(lanes):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, CHUNK):
-            spans = zip(starts[at:at + CHUNK], ends[at + words - 1:at + CHUNK + words - 1])
-            hashes = np.array([digest(joined[s:e], SEED + lane) for s, e in spans], "<u8")
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1,
+    digest = xxhash.xxh64_intdigest
+    counts = np.zeros((lanes, 64), np.int64)
+    for at in range(0, n, CHUNK):
+        spans = zip(starts[at:at + CHUNK], ends[at + words - 1:at + CHUNK + words - 1])
+        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")
+        for lane in range(lanes):
+            bits = np.unpackbits(stirred(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1,
                                  bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0]))
-    return out
+            counts[lane] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 3,
