@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import byte_bpe, exact_dedup, mixing, pii, quality, secrets, sharding, simhash, token_counts
+from . import (byte_bpe, exact_dedup, mixing, pii, quality, secrets, sharding, simhash,
+               token_counts, url_filter)
 from .base import read, small, text_of
 
 QUERIES = {}
@@ -123,6 +124,12 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(read(spark, folder, "pages"), read(spark, folder, "labels"))
+
+
 @query
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""
