@@ -41,6 +41,13 @@ def line_ranking(spark, sf):
     return c.line_ranking(i.daily(spark, sf))
 
 
+@query("line_volatility", day_sql(f"""
+SELECT line, {rnd('avg(value)', 4)} AS mean, {rnd('stddev_samp(value)', 4)} AS std,
+  {rnd('stddev_samp(value) * 100.0 / avg(value)', 4)} AS cv_pct FROM daily GROUP BY line""", "daily"))
+def line_volatility(spark, sf):
+    return i.rounded(c.line_volatility(i.daily(spark, sf)))
+
+
 @query("volatility_ranking", day_sql(f"""
 SELECT line, cv_pct, CASE WHEN row_number() OVER (ORDER BY cv_pct DESC, line DESC) = 1
     THEN 'most_volatile' WHEN row_number() OVER (ORDER BY cv_pct, line) = 1

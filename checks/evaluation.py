@@ -114,15 +114,15 @@ def residual_trend(spark, sf):
 
 
 @query("residual_histogram", ev(f"""
-SELECT b.bin, {rnd('lo + w * b.bin', 4)} AS bin_start, CAST(count(s.z) AS BIGINT) AS n,
+SELECT e.line, b.bin, {rnd('lo + w * b.bin', 4)} AS bin_start, CAST(count(s.z) AS BIGINT) AS n,
   {rnd('any_value(mean)', 4)} AS mean, {rnd('any_value(std)', 4)} AS std
 FROM (SELECT CAST(unnest(range(20)) AS INTEGER) AS bin) b
-CROSS JOIN (SELECT min(round(residual, 9)) AS lo,
+CROSS JOIN (SELECT line, min(round(residual, 9)) AS lo,
   (max(round(residual, 9)) - min(round(residual, 9))) / 20 AS w,
-  avg(residual) AS mean, stddev_samp(residual) AS std FROM shifted) e
-LEFT JOIN (SELECT round(residual, 9) AS z FROM shifted) s
-  ON least(CAST(floor((s.z - e.lo) / e.w) AS INTEGER), 19) = b.bin
-GROUP BY b.bin, lo, w"""))
+  avg(residual) AS mean, stddev_samp(residual) AS std FROM shifted GROUP BY line) e
+LEFT JOIN (SELECT line, round(residual, 9) AS z FROM shifted) s
+  ON s.line = e.line AND least(CAST(floor((s.z - e.lo) / e.w) AS INTEGER), 19) = b.bin
+GROUP BY e.line, b.bin, lo, w"""))
 def residual_histogram(spark, sf):
     return i.rounded(v.residual_histogram(v.residuals(clean(spark, sf))))
 

@@ -78,7 +78,7 @@ FIGURES = {
   SELECT 'model_mape' AS metric, 'TOTAL' AS label,
     round(avg(abs(y - yhat) / y) FILTER (y > 0) * 100, 2) AS value FROM judged
   UNION ALL SELECT 'model_coverage_pct', 'TOTAL', round(100.0 * count(*) FILTER (
-    y > 0 AND y BETWEEN yhat_lower AND yhat_upper) / count(*) FILTER (y > 0), 1) FROM judged
+    y BETWEEN yhat_lower AND yhat_upper) / count(*), 1) FROM judged
   UNION ALL SELECT 'model_direction_pct', 'TOTAL', 100.0 * count(*) FILTER (a = b) / count(a) FROM (
     SELECT sign(y - lag(y) OVER (ORDER BY ds)) AS a, sign(yhat - lag(yhat) OVER (ORDER BY ds)) AS b
     FROM judged)""",
@@ -186,7 +186,8 @@ def insight_rows(spark, sf):
     forecast = f.forecast_lines(f.train_part(split), holidays(spark))
     joined = evaluate.eval_join(f.test_part(split), forecast)
     score = evaluate.line_scorecard(evaluate.positive_only(joined))
-    model = insight.model_metrics(score, evaluate.direction_accuracy(joined), reshape.TOTAL)
+    model = insight.model_metrics(score, evaluate.direction_accuracy(joined),
+                                  evaluate.interval_coverage(joined), reshape.TOTAL)
     policy = events.event_impact(total, dimensions.events(
         spark, [w for w in WINDOWS if w[0] == POLICY]))
     return insight.insight_rows(metrics(spark, daily, total).unionByName(model), policy)

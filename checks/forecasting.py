@@ -155,9 +155,30 @@ def forecast_lines(spark, sf):
     return i.rounded(forecast(spark, sf))
 
 
-@query("forecast_lines_ridge")
+RIDGE_ERROR = 1.25         # bound on the days held out, in errors of the training mean
+
+
+@query("forecast_lines_ridge", lines_sql("""
+SELECT f.line, CAST(count(*) AS BIGINT) AS rows, min(f.ds) AS first_date, max(f.ds) AS last_date,
+  CAST(count(*) FILTER (f.is_future) AS BIGINT) AS future_rows,
+  true AS non_negative, true AS ordered, true AS error_bounded
+FROM l_future f GROUP BY f.line""", "l_future"))
 def forecast_lines_ridge(spark, sf):
-    return i.rounded(ridge(train(spark, sf), holidays(spark)))
+    """The fit itself has no SQL; its shape, its signs and its error on the last days do."""
+    days = staged(split(spark, sf))
+    known = f.train_part(days)
+    out = staged(ridge(known, holidays(spark)))
+    test = f.test_part(days).select("line", "ds", F.col("y").alias("actual"))
+    level = known.groupBy("line").agg(F.avg("y").alias("level"))
+    miss = F.abs(F.col("actual") - F.col("yhat"))
+    return (out.join(test, ["line", "ds"], "left").join(level, "line").groupBy("line").agg(
+        F.count("*").alias("rows"), F.min("ds").alias("first_date"),
+        F.max("ds").alias("last_date"), F.count_if("is_future").alias("future_rows"),
+        F.bool_and(F.col("yhat") >= 0).alias("non_negative"),
+        F.bool_and((F.col("yhat_lower") <= F.col("yhat"))
+                   & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered"),
+        (F.avg(miss) <= RIDGE_ERROR * F.avg(F.abs(F.col("actual") - F.col("level")))
+         ).alias("error_bounded")))
 
 
 @query("forecast_components", lines_sql(f"""
@@ -190,7 +211,7 @@ def forecast_vs_recent(spark, sf):
 
 
 @query("forecast_outlook_weekly", lines_sql("""
-SELECT line, CAST(week(ds) AS INTEGER) AS week, min(ds) AS first_date,
+SELECT line, CAST(isoyear(ds) AS INTEGER) AS year, CAST(week(ds) AS INTEGER) AS week, min(ds) AS first_date,
   CAST(round(round(sum(yhat), 4)) AS BIGINT) AS total,
   CAST(round(round(avg(yhat), 4)) AS BIGINT) AS mean_per_day,
   CAST(count(*) FILTER (isodow(ds) >= 6) AS BIGINT) AS weekend_days

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyloom.operators import quality as q
-from tallyloom.session import shared_folder
+from tallyloom.session import new_folder
 from tallyloom.sources import tables
 
 from . import inputs as i
@@ -24,45 +22,39 @@ def raw_sql(body: str, needs: str = "raw") -> str:
 
 
 @query("scan_csv", raw_sql(f"""
-SELECT * EXCLUDE (qty_raw), CASE WHEN qty_raw NOT IN ('n/a', 'nan', '') THEN qty_raw END AS qty_raw
-FROM (SELECT {RAW_COLS}, CAST(count(*) AS BIGINT) AS rows FROM filled_rows GROUP BY ALL)""",
-    "filled_rows"))
+SELECT {RAW_COLS}, CAST(count(*) AS BIGINT) AS rows FROM (
+  SELECT * REPLACE (CASE WHEN qty_raw NOT IN ('n/a', 'nan', '') THEN qty_raw END AS qty_raw)
+  FROM raw) GROUP BY ALL"""))
 def scan_csv(spark, sf):
-    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    text = q.drop_empty_rows(i.raw(spark, sf)).select(*tables.RAW_COLUMNS)
-    # one folder per half of the data, as the publisher has one file per year
-    for half, part in (("rail", text.where("mode = 'rail'")),
-                       ("other", text.where("mode <> 'rail'"))):
+    folder = new_folder(spark, "csv")
+    text = i.raw(spark, sf).select(*tables.RAW_COLUMNS)
+    rail = F.coalesce(F.col("mode") == "rail", F.lit(False))
+    # one folder per half of the data, as the publisher has one file per year; the second
+    # has its columns the other way round
+    for half, part in (("rail", text.where(rail)),
+                       ("other", text.where(~rail).select(*reversed(tables.RAW_COLUMNS)))):
         part.write.options(header=True, emptyValue='""', ignoreLeadingWhiteSpace=False,
                            ignoreTrailingWhiteSpace=False).csv(f"{folder}/{half}")
     back = tables.scan_csv(spark, [f"{folder}/rail", f"{folder}/other"])
     return back.groupBy(*tables.RAW_COLUMNS).agg(F.count("*").alias("rows"))
 
 
-ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-              "o_orderpriority"]
-
-
-def _cells(side, columns):
-    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS "
-                              f"filled_{side} FROM orders" for c in columns)
-
-
-@query("schema_check", f"""
-SELECT column_name, filled_left IS NOT NULL AS in_left, filled_right IS NOT NULL AS in_right,
-  filled_left, filled_right, filled_left IS NOT NULL AND filled_right IS NOT NULL AS matches
-FROM ({_cells('left', ORDER_COLS)})
-FULL JOIN ({_cells('right', ORDER_COLS[1:])}) USING (column_name)""")
+@query("schema_check", """
+SELECT column_name, true AS in_left, column_name <> 'o_orderkey' AS in_right,
+  column_name <> 'o_orderkey' AS matches
+FROM (DESCRIBE orders)""")
 def schema_check(spark, sf):
     orders = tables.scan_table(spark, sf, "orders")
     return tables.schema_check(orders, orders.drop("o_orderkey"))
 
 
 @query("union_sources", raw_sql(
-    f"SELECT {RAW_COLS}, ingest_seq FROM filled_rows", "filled_rows"))
+    f"SELECT {RAW_COLS}, ingest_seq FROM raw"))
 def union_sources(spark, sf):
-    rows = q.drop_empty_rows(i.raw(spark, sf))
-    return tables.union_sources(rows.where("mode = 'rail'"), rows.where("mode <> 'rail'"))
+    rows = i.raw(spark, sf)
+    rail = F.coalesce(F.col("mode") == "rail", F.lit(False))
+    other = rows.where(~rail)
+    return tables.union_sources(rows.where(rail), other.select(*reversed(other.columns)))
 
 
 @query("nonempty_guard", raw_sql(
@@ -142,7 +134,8 @@ def drop_empty_counts(spark, sf):
 
 
 @query("value_counts", raw_sql(
-    "SELECT unit AS item, CAST(count(*) AS BIGINT) AS rows FROM raw GROUP BY ALL"))
+    "SELECT unit AS item, CAST(count(*) AS BIGINT) AS rows FROM raw WHERE unit IS NOT NULL "
+    "GROUP BY ALL"))
 def value_counts(spark, sf):
     return q.value_counts(i.raw(spark, sf), "unit")
 
@@ -251,6 +244,35 @@ def duplicate_summary(spark, sf):
     return q.duplicate_summary(i.resolved(spark, sf))
 
 
+@query("duplicate_cells_null_keys", with_ctes(i.LOOSE, """
+SELECT date, vehicle, ingest_seq, qty FROM loose_numbered WHERE copies > 1""", "loose_numbered"))
+def duplicate_cells_null_keys(spark, sf):
+    return q.duplicate_cells(i.loose(spark, sf), ("date", "vehicle"))
+
+
+@query("duplicate_keys_null_keys", with_ctes(i.LOOSE, """
+SELECT date, vehicle, ingest_seq, qty FROM loose_numbered WHERE occurrence > 1""",
+    "loose_numbered"))
+def duplicate_keys_null_keys(spark, sf):
+    return q.duplicate_keys(i.loose(spark, sf))
+
+
+@query("duplicate_summary_null_keys", with_ctes(i.LOOSE, """
+SELECT CAST(count(*) AS BIGINT) AS rows,
+  CAST(count(*) FILTER (occurrence > 1) AS BIGINT) AS repeats,
+  CAST(count(*) FILTER (occurrence = 1) AS BIGINT) AS distinct_keys FROM loose_numbered""",
+    "loose_numbered"))
+def duplicate_summary_null_keys(spark, sf):
+    return q.duplicate_summary(i.loose(spark, sf))
+
+
+@query("dedup_first_null_keys", with_ctes(i.LOOSE, """
+SELECT date, vehicle, ingest_seq, qty FROM loose_numbered WHERE occurrence = 1""",
+    "loose_numbered"))
+def dedup_first_null_keys(spark, sf):
+    return q.dedup_first(i.loose(spark, sf))
+
+
 @query("dedup_first", raw_sql(
     f"SELECT * EXCLUDE (qty), {rnd('qty', 4)} AS qty FROM deduped", "deduped"))
 def dedup_first(spark, sf):
@@ -303,7 +325,13 @@ def _describe(v, table):
 
 @query("describe", raw_sql(_describe("qty", "nonneg"), "nonneg"))
 def describe(spark, sf):
-    return i.rounded(q.describe(i.clean_table(spark, sf)))
+    return i.rounded(q.describe(i.clean_table(spark, sf, "qty")))
+
+
+@query("describe_by_vehicle", raw_sql(_describe("qty", "nonneg").replace(
+    "SELECT ", "SELECT vehicle, ", 1) + " WHERE vehicle IS NOT NULL GROUP BY vehicle", "nonneg"))
+def describe_by_vehicle(spark, sf):
+    return i.rounded(q.describe_by(i.clean_table(spark, sf, "vehicle", "qty"), ["vehicle"]))
 
 
 @query("describe_prices", _describe("l_extendedprice", "lineitem"))
@@ -316,7 +344,7 @@ SELECT min(qty) < 0 AS has_negative, avg(qty) > median(qty) AS right_skewed,
   stddev_samp(qty) > avg(qty) AS high_spread, max(qty) > 3 * avg(qty) AS extreme_max
 FROM nonneg""", "nonneg"))
 def skew_flags(spark, sf):
-    return q.skew_flags(i.clean_table(spark, sf))
+    return q.skew_flags(i.clean_table(spark, sf, "qty"))
 
 
 @query("key_inventory", raw_sql("""
@@ -393,7 +421,7 @@ def series_gap_counts(spark, sf):
 SELECT {rnd('quantile_cont(qty, 0.95)', 4)} AS p95, {rnd('quantile_cont(qty, 0.99)', 4)} AS p99,
   {rnd('max(qty)', 4)} AS max FROM nonneg""", "nonneg"))
 def quantile_thresholds(spark, sf):
-    return i.rounded(q.quantile_thresholds(i.clean_table(spark, sf)))
+    return i.rounded(q.quantile_thresholds(i.clean_table(spark, sf, "qty")))
 
 
 @query("outlier_flag", raw_sql(f"""
@@ -437,7 +465,7 @@ FROM (SELECT vehicle, CAST(count(qty) AS BIGINT) AS days, {rnd('round(avg(qty),
 
 @query("group_stats", raw_sql(STATS, "nonneg"))
 def group_stats(spark, sf):
-    return q.group_stats(i.clean_table(spark, sf))
+    return q.group_stats(i.clean_table(spark, sf, "vehicle", "qty"))
 
 
 @query("group_stats_by_part", f"""
@@ -458,20 +486,20 @@ def group_stats_by_part(spark, sf):
 @query("group_stats_top_cv", raw_sql(
     f"SELECT * FROM ({STATS}) ORDER BY cv DESC, vehicle LIMIT 3", "nonneg"))
 def group_stats_top_cv(spark, sf):
-    return q.rank_stats(q.group_stats(i.clean_table(spark, sf)), "cv", 3)
+    return q.rank_stats(q.group_stats(i.clean_table(spark, sf, "vehicle", "qty")), "cv", 3)
 
 
 @query("group_stats_top_spike", raw_sql(
     f"SELECT * FROM ({STATS}) ORDER BY spike_ratio DESC, vehicle LIMIT 3", "nonneg"))
 def group_stats_top_spike(spark, sf):
-    return q.rank_stats(q.group_stats(i.clean_table(spark, sf)), "spike_ratio", 3)
+    return q.rank_stats(q.group_stats(i.clean_table(spark, sf, "vehicle", "qty")), "spike_ratio", 3)
 
 
 @query("risk_counts", raw_sql(f"""
 SELECT CAST(count(*) FILTER (cv > 0.5) AS BIGINT) AS high_cv,
   CAST(count(*) FILTER (spike_ratio > 1.05) AS BIGINT) AS high_spike FROM ({STATS})""", "nonneg"))
 def risk_counts(spark, sf):
-    return q.risk_counts(q.group_stats(i.clean_table(spark, sf)), 0.5, 1.05)
+    return q.risk_counts(q.group_stats(i.clean_table(spark, sf, "vehicle", "qty")), 0.5, 1.05)
 
 
 @query("domain_filter", raw_sql(f"""

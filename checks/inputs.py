@@ -154,9 +154,29 @@ def nonneg(spark, sf):
     return quality.negative_filter(quality.dedup_first(resolved(spark, sf)))
 
 
-def clean_table(spark, sf):
-    """The clean rows as a written table, for reports that pass over them repeatedly."""
-    return staged(nonneg(spark, sf))
+def clean_table(spark, sf, *columns):
+    """The wanted columns of the clean rows as a written table, for reports that pass over
+    them repeatedly."""
+    rows = nonneg(spark, sf)
+    return staged(rows.select(*columns) if columns else rows)
+
+
+def loose(spark, sf):
+    """Orders by day and priority, of which every seventh has lost the priority."""
+    o = scan_table(spark, sf, "orders")
+    return o.select(F.col("o_orderdate").cast("date").alias("date"),
+                    F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("vehicle"),
+                    F.col("o_orderkey").alias("ingest_seq"), F.col("o_totalprice").alias("qty"))
+
+
+LOOSE = {
+    "loose": """
+  SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS ingest_seq, o_totalprice AS qty,
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS vehicle FROM orders""",
+    "loose_numbered": """
+  SELECT *, row_number() OVER (PARTITION BY date, vehicle ORDER BY ingest_seq) AS occurrence,
+    count(*) OVER (PARTITION BY date, vehicle) AS copies FROM loose""",
+}
 
 
 def flagged(spark, sf):

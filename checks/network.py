@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import correlate, graph, reshape
+from tallyloom.operators import evaluate, graph, insight, reshape
+from tallyloom.operators import forecast as f
 from tallyloom.session import staged
 from tallyloom.sources.tables import scan_table
 
 from . import inputs as i
+from .detection import holidays
+from .forecasting import TOTAL
 from .registry import query, rnd, with_ctes
 
 THRESHOLD = 0.03
@@ -58,10 +61,19 @@ def nation_daily(spark, sf):
 def network(spark, sf):
     """Nodes and edges; the series are written once, as both read them."""
     daily = staged(nation_daily(spark, sf))
-    edges = graph.corr_edges(correlate.corr_matrix(daily), THRESHOLD)
+    edges = graph.corr_edges(daily, THRESHOLD)
     return graph.graph_nodes(daily), staged(edges)
 
 
+BETWEEN = """
+  SELECT n.line, coalesce(sum(1.0 * sv.c * vt.c / st.c), 0)
+        / ((SELECT count(*) - 1 FROM nodes) * (SELECT count(*) - 2 FROM nodes)) AS b
+  FROM nodes n LEFT JOIN (sigma sv JOIN sigma vt ON sv.t = vt.s
+    JOIN sigma st ON st.s = sv.s AND st.t = vt.t AND st.d = sv.d + vt.d)
+    ON sv.t = n.line AND sv.s <> n.line AND vt.t <> n.line AND sv.s <> vt.t
+  GROUP BY n.line"""
+
+
 @query("corr_edges", net_sql(f"SELECT a, b, {rnd('r', 6)} AS r FROM edges", "edges"))
 def corr_edges(spark, sf):
     return i.rounded(network(spark, sf)[1], 6)
@@ -124,11 +136,40 @@ def graph_mean_path(spark, sf):
 @query("graph_betweenness", net_sql(f"""
 SELECT line, {rnd('b', 6)} AS betweenness,
   row_number() OVER (ORDER BY round(b, 9) DESC, line) = 1 AS is_hub
-FROM (SELECT n.line, coalesce(sum(1.0 * sv.c * vt.c / st.c), 0)
-        / ((SELECT count(*) - 1 FROM nodes) * (SELECT count(*) - 2 FROM nodes)) AS b
-      FROM nodes n LEFT JOIN (sigma sv JOIN sigma vt ON sv.t = vt.s
-        JOIN sigma st ON st.s = sv.s AND st.t = vt.t AND st.d = sv.d + vt.d)
-        ON sv.t = n.line AND sv.s <> n.line AND vt.t <> n.line AND sv.s <> vt.t
-      GROUP BY n.line)""", "sigma"))
+FROM ({BETWEEN})""", "sigma"))
 def graph_betweenness(spark, sf):
     return i.rounded(graph.graph_betweenness(*network(spark, sf)), 6)
+
+
+JUDGED = {
+    **NET, **TOTAL,
+    "judged": """
+  SELECT y, yhat, lag(y) OVER (ORDER BY ds) AS naive
+  FROM (SELECT t.ds, t.y, c.yhat FROM t_test t JOIN t_fc c USING (line, ds) WHERE t.y > 0)""",
+}
+
+
+@query("network_evidence", with_ctes(JUDGED, f"""
+SELECT metric, label, {rnd('value', 4)} AS value FROM (
+  SELECT 'network_density' AS metric, NULL AS label,
+    CAST(sum(d) AS DOUBLE) / (count(*) * (count(*) - 1)) AS value FROM deg
+  UNION ALL SELECT 'network_clustering', NULL, avg(CASE WHEN d < 2 THEN 0.0
+    ELSE 2.0 * coalesce(tri, 0) / (d * (d - 1)) END) FROM deg LEFT JOIN ({TRI}) USING (line)
+  UNION ALL SELECT 'network_mean_path', NULL, CASE WHEN count(*) = (
+    SELECT count(*) * (count(*) - 1) / 2 FROM nodes) THEN avg(d) END FROM dist WHERE s < t
+  UNION ALL SELECT 'hub_betweenness', line, b FROM (
+    SELECT *, row_number() OVER (ORDER BY round(b, 9) DESC, line) AS k FROM ({BETWEEN})) WHERE k = 1
+  UNION ALL SELECT 'forecast_mean', 'TOTAL', avg(yhat) FROM t_fc WHERE is_future
+  UNION ALL SELECT 'mape_gain_over_naive', 'TOTAL', round(avg(abs(y - naive) / y) * 100, 2)
+    - round(avg(abs(y - yhat) / y) * 100, 2) FROM judged)""", "judged", recursive=True))
+def network_evidence(spark, sf):
+    nodes, edges = network(spark, sf)
+    total = reshape.network_total(i.ship_daily(spark, sf))
+    split = staged(f.train_test_split(f.forecast_frame(total)))
+    forecast = staged(f.forecast_lines(f.train_part(split), holidays(spark)))
+    clean = evaluate.positive_only(evaluate.eval_join(f.test_part(split), forecast))
+    rows = insight.network_evidence(
+        graph.graph_summary(nodes, edges), graph.graph_betweenness(nodes, edges),
+        graph.mean_path_length(nodes, graph.graph_paths(nodes, edges)), forecast,
+        evaluate.baseline_compare(clean), reshape.TOTAL)
+    return i.rounded(rows)

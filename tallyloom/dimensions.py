@@ -22,6 +22,17 @@ PUBLIC = "สาธารณะ"
 PERSONS = "คน"
 UNKNOWN_EVENT = "ไม่ทราบเหตุการณ์"
 
+RAW_HEADERS = {
+    "รูปแบบการเดินทาง": "mode",
+    "วัตถุประสงค์": "purpose",
+    "สาธารณะ/ส่วนบุคคล": "ownership",
+    "หน่วยงาน": "agency",
+    "ยานพาหนะ/ท่า": "vehicle",
+    "วันที่": "date_raw",
+    "หน่วย": "unit",
+    "ปริมาณ": "qty_raw",
+}
+
 LINE_OF_VEHICLE = {
     "รถไฟฟ้า BTS": "BTS",
     "รถไฟฟ้าสายสีน้ำเงิน": "MRT Blue",

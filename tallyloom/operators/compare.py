@@ -46,6 +46,13 @@ def base_index(daily: DataFrame, days: int = 7) -> DataFrame:
         "date", "line", (F.col("value") / base * 100).alias("index_value"))
 
 
+def line_volatility(daily: DataFrame) -> DataFrame:
+    """Mean, deviation and their ratio with zero days counted, nothing rounded."""
+    v = F.col("value")
+    return (daily.groupBy("line").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+            .withColumn("cv_pct", percent(F.col("std"), F.col("mean"))))
+
+
 def line_ranking(daily: DataFrame) -> DataFrame:
     """Mean and deviation without zero days, as whole numbers, their ratio, and the rank."""
     v = zero_to_null(F.col("value"))
@@ -69,9 +76,14 @@ def volatility_ranking(daily: DataFrame) -> DataFrame:
 
 
 def complete_dates(df: DataFrame, valid: Column, lines: Column) -> DataFrame:
-    """Keep the dates on which all lines are valid."""
-    return (df.withColumn("_ok", F.count_if(valid).over(Window.partitionBy("date")))
-            .where(F.col("_ok") == lines).drop("_ok"))
+    """Keep the dates on which all lines are valid.
+
+    Dates are counted by an aggregate with map-side combine, not a window: a day has as
+    many rows as there are lines.
+    """
+    good = (df.groupBy("date").agg(F.count_if(valid).alias("_ok"))
+            .where(F.col("_ok") == lines).select("date"))
+    return df.join(good, "date", "left_semi")
 
 
 def rolling_std30(daily: DataFrame, days: int = 30) -> DataFrame:
@@ -107,8 +119,9 @@ def rolling_yoy(series: DataFrame, days: int = 30, back: int = 365) -> DataFrame
 
 def line_share(daily: DataFrame) -> DataFrame:
     """Share of each line in the day; null on a day without traffic."""
-    whole = F.sum("value").over(Window.partitionBy("date"))
-    return daily.select("date", "line", percent(F.col("value"), whole).alias("share_pct"))
+    whole = daily.groupBy("date").agg(F.sum("value").alias("_whole"))
+    return daily.join(whole, "date").select(
+        "date", "line", percent(F.col("value"), F.col("_whole")).alias("share_pct"))
 
 
 def share_smoothed14(daily: DataFrame, days: int = 14) -> DataFrame:

@@ -55,15 +55,15 @@ def _pearson(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray):
     return n, np.clip(r, -1.0, 1.0)
 
 
-def _distance(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """Euclidean distance between rows; a missing cell counts as zero."""
+def _square_distance(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Squared Euclidean distance between rows; a missing cell counts as zero."""
     a, b = x[left], x[right]
     n = m[left] @ m[right].T
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return n, np.sqrt(np.maximum(square, 0.0))
+    return n, np.maximum(square, 0.0)
 
 
-def _paired(measure: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _paired(measure: Callable, least: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names, x, m = _matrix(group)
         block = group["block"].to_numpy()
@@ -75,6 +75,9 @@ def _paired(measure: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if lo == hi:                     # each pair of a diagonal block once
             once = a < b
             a, b, n, r = a[once], b[once], n[once], r[once]
+        if least is not None:            # only what is wanted leaves the worker
+            strong = np.abs(r) > least
+            a, b, n, r = a[strong], b[strong], n[strong], r[strong]
         swap = a > b
         # an undefined measure is NaN here and becomes null on the way back
         return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b),
@@ -83,39 +86,54 @@ def _paired(measure: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def all_pairs(cells: DataFrame, name: str, axis: Column, value: Column, measure: Callable,
-              out: str, block_lines: int = BLOCK_LINES) -> DataFrame:
+              out: str, block_lines: int = BLOCK_LINES, pairs: DataFrame | None = None,
+              least: float | None = None, axis_part: Column | None = None) -> DataFrame:
     """``measure`` for every unordered pair of names, ``a < b``.
 
+    ``pairs(a, b)`` restricts the names to those it has and the result to its pairs;
+    ``least`` keeps, inside the workers already, pairs with a larger absolute measure.
+    ``axis_part`` cuts a long axis: the measure then comes for each part by itself.
+
     A name is one row: its list has one entry per axis point (a day, or a line), never
     one per source row.  A row travels once per block, and a group holds two blocks.
     """
-    rows = (cells.select(F.col(name).alias("name"), axis.alias("x"), value.alias("v"))
+    if pairs is not None:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias(name)).distinct()
+        cells = cells.join(wanted, name, "left_semi")
+    part = F.lit(0).cast("bigint") if axis_part is None else axis_part
+    rows = (cells.select(F.col(name).alias("name"), axis.alias("x"), value.alias("v"),
+                         part.alias("part"))
             .where(F.col("v").isNotNull())
-            .groupBy("name").agg(F.collect_list(F.struct("x", "v")).alias("_c"))
-            .select("name", F.col("_c.x").alias("axis"), F.col("_c.v").alias("cells")))
+            .groupBy("name", "part").agg(F.collect_list(F.struct("x", "v")).alias("_c"))
+            .select("name", "part", F.col("_c.x").alias("axis"), F.col("_c.v").alias("cells")))
     blocks = cells.agg(F.ceil(F.countDistinct(name) / F.lit(block_lines))).scalar()
     rows = (rows.withColumn("_blocks", blocks)
             .withColumn("block", F.pmod(F.xxhash64("name"), F.col("_blocks")))
             .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                        F.col("_blocks") - 1)))
-            .select("name", "axis", "cells", "block",
+            .select("name", "part", "axis", "cells", "block",
                     F.least("block", "_other").alias("lo"),
                     F.greatest("block", "_other").alias("hi")))
-    return rows.groupBy("lo", "hi").applyInPandas(
-        _paired(measure), "a string, b string, n bigint, r double").withColumnRenamed("r", out)
+    found = rows.groupBy("lo", "hi", "part").applyInPandas(
+        _paired(measure, least), "a string, b string, n bigint, r double")
+    if pairs is not None:
+        found = found.join(pairs, ["a", "b"], "left_semi")
+    return found.withColumnRenamed("r", out)
 
 
 def _days(day: str = "date") -> Column:
     return F.unix_date(day)
 
 
-def corr_matrix(daily: DataFrame, log: bool = False) -> DataFrame:
+def corr_matrix(daily: DataFrame, log: bool = False, pairs: DataFrame | None = None,
+                least: float | None = None) -> DataFrame:
     """Pearson correlation of every pair of lines over their common days.
 
     Raw values count zero days; ``log`` leaves zero days out and takes ``ln(1 + v)``.
     """
     value = F.log1p(zero_to_null(F.col("value"))) if log else F.col("value")
-    return all_pairs(daily, "line", _days(), value, _pearson, "r")
+    return all_pairs(daily, "line", _days(), value, _pearson, "r", pairs=pairs, least=least)
 
 
 def corr_pairs(matrix: DataFrame) -> DataFrame:
@@ -142,13 +160,22 @@ def both_ways(matrix: DataFrame, lines: DataFrame) -> DataFrame:
     return there.unionByName(back).unionByName(own)
 
 
-def corr_profile_distance(daily: DataFrame) -> DataFrame:
-    """Distance between the rows of the matrix ``1 - r`` for every pair of lines."""
+def corr_profile_distance(daily: DataFrame, axis_lines: int = 4096) -> DataFrame:
+    """Distance between the rows of the matrix ``1 - r`` for every pair of lines.
+
+    The axis is the other line, so it is cut into parts of ``axis_lines``, and the squares
+    of the parts are added up: no task holds a row of all lines.
+    """
     lines = daily.select("line").distinct()
     square = both_ways(corr_matrix(daily, log=True), lines)
+    parts = daily.agg(F.ceil(F.countDistinct("line") / F.lit(axis_lines))).scalar()
     apart = square.select(F.col("a").alias("line"), F.col("b").alias("other"),
-                          (1 - F.coalesce("r", F.lit(0.0))).alias("value"))
-    return all_pairs(apart, "line", F.col("other"), F.col("value"), _distance, "distance")
+                          (1 - F.coalesce("r", F.lit(0.0))).alias("value"),
+                          F.pmod(F.xxhash64("b"), parts).alias("part"))
+    sums = all_pairs(apart, "line", F.col("other"), F.col("value"), _square_distance, "square",
+                     axis_part=F.col("part"))
+    return sums.groupBy("a", "b").agg(F.sum("n").alias("n"),
+                                      F.sqrt(F.sum("square")).alias("distance"))
 
 
 def nearest_line(distances: DataFrame) -> DataFrame:
@@ -162,6 +189,8 @@ def nearest_line(distances: DataFrame) -> DataFrame:
 
 def lag_corr(daily: DataFrame, pairs: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Correlation at lag 0 and one day either way for given pairs, with a verdict."""
+    wanted = pairs.select(F.explode(F.array("line_a", "line_b")).alias("line")).distinct()
+    daily = daily.join(wanted, "line", "left_semi")
     by_date = Window.partitionBy("line").orderBy("date")
     shifted = daily.select("date", "line", "value",
                            F.lead("value").over(by_date).alias("next_day"),

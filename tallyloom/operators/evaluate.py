@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import percent, safe_corr, whole_number
-from .events import histogram
 from .forecast import FORECAST, HORIZON, decompose, holiday_keys
 from .rows import attach_row
 
@@ -98,10 +97,20 @@ def residual_trend(with_residuals: DataFrame, min_rows: int = 4) -> DataFrame:
 
 
 def residual_histogram(with_residuals: DataFrame, bins: int = 20) -> DataFrame:
-    """Bins of the residuals, with their mean and deviation."""
-    whole = with_residuals.agg(F.avg("residual").alias("mean"),
-                               F.stddev_samp("residual").alias("std"))
-    return attach_row(histogram(with_residuals, "residual", bins), whole)
+    """Bins of each line's residuals, with their mean and deviation."""
+    value = F.round("residual", 9)              # no noise at the borders of bins
+    ends = with_residuals.groupBy("line").agg(
+        F.min(value).alias("_lo"), ((F.max(value) - F.min(value)) / bins).alias("_w"),
+        F.avg("residual").alias("mean"), F.stddev_samp("residual").alias("std"))
+    place = F.floor(F.coalesce(F.try_divide(value - F.col("_lo"), F.col("_w")), F.lit(0.0)))
+    counts = (with_residuals.where(F.col("residual").isNotNull()).join(ends, "line")
+              .groupBy("line", F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+              .agg(F.count("*").alias("n")))
+    frame = ends.where(F.col("_lo").isNotNull()).withColumn(
+        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return frame.join(counts, ["line", "bin"], "left").select(
+        "line", "bin", (F.col("_lo") + F.col("_w") * F.col("bin")).alias("bin_start"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mean", "std")
 
 
 def _covered() -> Column:

@@ -24,18 +24,21 @@ HORIZON = 30
 INTERVAL_Z = 1.2816        # two-sided 80 percent of the normal distribution
 
 
-def with_regressors(frame: DataFrame) -> DataFrame:
-    """Weekend flag and the position of the month on the yearly circle."""
+def with_regressors(frame: DataFrame, month_number: bool = False) -> DataFrame:
+    """Weekend flag and the position of the month on the yearly circle, or its number."""
+    if month_number:
+        return frame.withColumns({"is_weekend": is_weekend(F.col("ds")),
+                                  "month": F.month("ds").cast("bigint")})
     sine, cosine = month_wave(F.col("ds"))
     return frame.withColumns({"is_weekend": is_weekend(F.col("ds")),
                               "month_sin": sine, "month_cos": cosine})
 
 
-def forecast_frame(series: DataFrame) -> DataFrame:
+def forecast_frame(series: DataFrame, month_number: bool = False) -> DataFrame:
     """``(line, ds, y)`` without nulls, negatives clipped, with regressors."""
     frame = series.where(F.col("value").isNotNull()).select(
         "line", F.col("date").alias("ds"), F.greatest("value", F.lit(0.0)).alias("y"))
-    return with_regressors(frame)
+    return with_regressors(frame, month_number)
 
 
 def train_test_split(frame: DataFrame, test_days: int = TEST_DAYS) -> DataFrame:
@@ -80,12 +83,16 @@ def future_frame(train: DataFrame, horizon: int = HORIZON) -> DataFrame:
         "line", "ds", F.when(~ahead, F.col("_y")).alias("y"), ahead.alias("is_future")))
 
 
-def decompose(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+YEARLY_DAYS = 365          # history from which on months have a factor of their own
+
+
+def decompose(frame: DataFrame, keys: Sequence[str],
+              yearly_days: int = YEARLY_DAYS) -> DataFrame:
     """Fit on the rows that have ``y`` and evaluate on all rows of the frame.
 
     Needs ``keys``, ``ds``, ``y`` and ``holiday_key``; adds the components, ``yhat`` and
-    its interval.  Without a full year of history the month factor is 1, and so is the
-    effect of a holiday never seen.
+    its interval.  With less than ``yearly_days`` of history the month factor is 1, as
+    months and trend could not be told apart; so is the effect of a holiday never seen.
     """
     def over(*more: str):
         return Window.partitionBy(*keys, *more)
@@ -104,7 +111,7 @@ def decompose(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
     level = F.when(F.col("trend") > 0, F.col("trend"))
     frame = frame.withColumn("weekly", factor(level, "_dow"))
     level = level * F.col("weekly")
-    frame = frame.withColumn("yearly", F.when(F.col("_span") >= 365, factor(level, "_month"))
+    frame = frame.withColumn("yearly", F.when(F.col("_span") >= yearly_days, factor(level, "_month"))
                              .otherwise(1.0))
     level = level * F.col("yearly")
     frame = frame.withColumn("holiday_effect",
@@ -164,10 +171,15 @@ def forecast_vs_recent(forecast: DataFrame, train: DataFrame, days: int = 90) ->
         F.round(change, 1).alias("change_pct")).orderBy("line")
 
 
+def iso_year(day: Column) -> Column:
+    """The year that the ISO week of a day belongs to: that of its Thursday."""
+    return F.year(F.date_add(day, 3 - F.weekday(day)))
+
+
 def forecast_outlook_weekly(forecast: DataFrame) -> DataFrame:
     """The horizon by ISO week: total, mean per day, weekend days."""
     return (future_only(forecast)
-            .groupBy("line", F.weekofyear("ds").alias("week"))
+            .groupBy("line", iso_year(F.col("ds")).alias("year"), F.weekofyear("ds").alias("week"))
             .agg(F.min("ds").alias("first_date"),
                  whole_number(F.sum("yhat")).alias("total"),
                  whole_number(F.avg("yhat")).alias("mean_per_day"),

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import zero_to_null
 from ..session import cut_lineage
+from .correlate import corr_matrix
 
 THRESHOLD = 0.6
+SALTS = 64                  # tasks that the lines of one component spread over
 
 
-def corr_edges(matrix: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs with an absolute correlation above the threshold."""
-    return matrix.where(F.abs("r") > threshold).select("a", "b", "r")
+def corr_edges(daily: DataFrame, threshold: float = THRESHOLD, log: bool = False,
+               pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs with an absolute correlation above the threshold; no other pair leaves the
+    workers.  ``pairs`` restricts the search to candidates."""
+    return corr_matrix(daily, log=log, pairs=pairs, least=threshold).select("a", "b", "r")
 
 
 def graph_nodes(daily: DataFrame) -> DataFrame:
@@ -90,8 +94,13 @@ def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 .groupBy(F.col("src").alias("line")).agg(F.min("component").alias("_near")))
         hop = labels.join(near, "line", "left").select(
             "line", "component", F.least("component", "_near").alias("_new"))
-        jump = hop.select(F.col("line").alias("_new"), F.col("_new").alias("_root"))
-        step = cut_lineage(hop.join(jump, "_new").select(
+        # many lines carry one label: look up each label once, and let the join on it deal
+        # a frequent one out over several tasks
+        hop = cut_lineage(hop.withColumn("_salt", F.pmod(F.xxhash64("line"), F.lit(SALTS))))
+        used = hop.select("_new", "_salt").distinct()
+        jump = used.join(hop.select(F.col("line").alias("_new"), F.col("_new").alias("_root")),
+                         "_new")
+        step = cut_lineage(hop.join(jump, ["_new", "_salt"]).select(
             "line", "component", F.least("_new", "_root").alias("_new")))
         moved = step.where(F.col("_new") != F.col("component")).count()
         labels = step.select("line", F.col("_new").alias("component"))

@@ -139,15 +139,46 @@ def line_dashboard(daily: DataFrame, scorecard: DataFrame) -> DataFrame:
                     ratio.alias("ratio"), "model_mape").orderBy("line"))
 
 
-def model_metrics(score: DataFrame, direction: DataFrame, line: str) -> DataFrame:
-    """Model quality of one line as figures, to be united with ``key_metrics``."""
+def model_metrics(score: DataFrame, direction: DataFrame, coverage: DataFrame,
+                  line: str) -> DataFrame:
+    """Model quality of one line as figures, to be united with ``key_metrics``.
+
+    The error is that of days with traffic; coverage counts all days.
+    """
     one = F.col("line") == line
-    row = attach_row(score.where(one), direction.where(one).select("direction_pct"))
+    row = attach_row(score.where(one).drop("coverage_pct"),
+                     direction.where(one).select("direction_pct"))
+    row = attach_row(row, coverage.where(one).select(
+        F.round(F.round("coverage_pct", 5), 1).alias("coverage_pct")))
     return _figures(row, _figure("model_mape", F.col("mape"), F.col("line")),
                     _figure("model_coverage_pct", F.col("coverage_pct"), F.col("line")),
                     _figure("model_direction_pct", F.col("direction_pct"), F.col("line")))
 
 
+def network_evidence(summary: DataFrame, hubs: DataFrame, path_length: DataFrame,
+                     forecast: DataFrame, baselines: DataFrame, line: str) -> DataFrame:
+    """What the second table of findings rests on, as ``(metric, label, value)``: density and
+    clustering of the network, its hub and mean path, the mean forecast of one line and the
+    points of MAPE its model gains over the naive guess."""
+    hub = hubs.where("is_hub").select(
+        F.lit("hub_betweenness").alias("metric"), F.col("line").alias("label"),
+        F.col("betweenness").alias("value"))
+    none = F.lit(None).cast("string")
+    net = _figures(attach_row(summary, path_length),
+                   _figure("network_density", F.col("density"), none),
+                   _figure("network_clustering", F.col("avg_clustering"), none),
+                   _figure("network_mean_path", F.col("mean_path_length"), none))
+    ahead = forecast.where(F.col("is_future") & (F.col("line") == line)).agg(
+        F.avg("yhat").alias("v")).select(F.lit("forecast_mean").alias("metric"),
+                                         F.lit(line).alias("label"), F.col("v").alias("value"))
+    of = lambda model: F.max(F.when(F.col("model") == model, F.col("mape")))
+    gain = baselines.where(F.col("line") == line).agg(
+        (of("Naive (t-1)") - of("Model")).alias("v")).select(
+        F.lit("mape_gain_over_naive").alias("metric"), F.lit(line).alias("label"),
+        F.col("v").alias("value"))
+    return net.unionByName(hub).unionByName(ahead).unionByName(gain)
+
+
 def insight_rows(metrics: DataFrame, policy: DataFrame) -> DataFrame:
     """The ordered findings: title, evidence from the figures, confidence, impact.
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import DAY_FIRST, all_of, parse_day, parse_number, percent
@@ -68,7 +69,9 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
             .agg(F.count("*").alias("rows")).orderBy("item"))
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
+def value_counts(df: DataFrame, column: str, keep_nulls: bool = False) -> DataFrame:
+    """Rows per value, most frequent first; nulls are no value unless asked for."""
+    df = df if keep_nulls else df.where(F.col(column).isNotNull())
     return (df.groupBy(F.col(column).alias("item")).agg(F.count("*").alias("rows"))
             .orderBy(F.desc("rows"), "item"))
 
@@ -124,7 +127,9 @@ def year_distribution(df: DataFrame) -> DataFrame:
 
 
 def valid_year(first: int, last: int) -> Column:
-    return F.year("date").between(first, last)
+    """As bounds on the date, which a file scan can use."""
+    return F.col("date").between(F.make_date(F.lit(first), F.lit(1), F.lit(1)),
+                                 F.make_date(F.lit(last), F.lit(12), F.lit(31)))
 
 
 def year_range_filter(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -191,8 +196,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = DAY_KEY,
     The anti join runs on key *and* sequence, which is unique, so the copies of a hot key
     spread over all tasks.
     """
-    first = df.groupBy(*keys).agg(F.min(seq).alias(seq))
-    return df.join(first, [*keys, seq], "left_anti")
+    first = df.groupBy(*keys).agg(F.min(seq).alias("_first")).select(F.struct(
+        *keys, "_first").alias("_f"))
+    same = F.col(seq) == F.col("_f._first")
+    for key in keys:                # missing keys are equal to each other
+        same = same & df[key].eqNullSafe(F.col(f"_f.{key}"))
+    return df.join(first, same, "left_anti")
 
 
 def duplicate_summary(df: DataFrame, keys: Sequence[str] = DAY_KEY) -> DataFrame:
@@ -268,6 +277,20 @@ def _neighbours(items: DataFrame, levels: Sequence[str], order: Sequence[str]) -
     return scanned.drop("_start", "_size")
 
 
+def _block_of(df: DataFrame, seq: str, block_rows: int) -> Column:
+    """Runs of rows that follow each other: the number without its last part.  A number may
+    be a struct, of which the last field counts rows."""
+    def whole(n: Column) -> Column:
+        return n - F.pmod(n, F.lit(block_rows))
+
+    kind = df.schema[seq].dataType
+    if not isinstance(kind, T.StructType):
+        return whole(F.col(seq))
+    *outer, last = kind.names
+    return F.struct(*[F.col(seq)[c].alias(c) for c in outer],
+                    whole(F.col(seq)[last]).alias(last))
+
+
 def interpolate_rows(df: DataFrame, value: str = "qty", series: str = "vehicle",
                      day: str = "date", seq: str = "ingest_seq", limit: int = 3,
                      block_rows: int = 1 << 20) -> DataFrame:
@@ -281,7 +304,7 @@ def interpolate_rows(df: DataFrame, value: str = "qty", series: str = "vehicle",
     across the borders.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    items = (df.withColumn("_block", F.col(seq) - F.pmod(F.col(seq), F.lit(block_rows)))
+    items = (df.withColumn("_block", _block_of(df, seq, block_rows))
              .withColumns({"n": one, "fv": F.col(value), "lv": F.col(value),
                            "lead": none, "tail": none}))
     items = _neighbours(items, [series, day, "_block"], [seq])
@@ -309,6 +332,17 @@ def describe(df: DataFrame, value: str = "qty") -> DataFrame:
         "count", "mean", "std", "min", *QUARTILES, "max")
 
 
+def describe_by(df: DataFrame, keys: Sequence[str], value: str = "qty") -> DataFrame:
+    """``describe`` for each key."""
+    v = F.col(value)
+    basic = df.groupBy(*keys).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    marks = exact_quantiles(df, value, QUARTILES, keys)
+    return basic.join(marks, list(keys)).select(
+        *keys, "count", "mean", "std", "min", *QUARTILES, "max")
+
+
 def skew_flags(df: DataFrame, value: str = "qty") -> DataFrame:
     """Four warnings about the distribution."""
     return describe(df, value).select(
@@ -319,8 +353,8 @@ def skew_flags(df: DataFrame, value: str = "qty") -> DataFrame:
 
 
 def quantile_thresholds(df: DataFrame, value: str = "qty") -> DataFrame:
-    q = exact_quantiles(df, value, {"p95": 0.95, "p99": 0.99})
-    return q.withColumn("max", df.agg(F.max(value)).scalar())
+    """95th and 99th percentile and the maximum, which is the last order statistic."""
+    return exact_quantiles(df, value, {"p95": 0.95, "p99": 0.99, "max": 1.0})
 
 
 def flag_outliers(df: DataFrame, value: str = "qty", prob: float = 0.99) -> DataFrame:
@@ -359,7 +393,7 @@ def group_stats(df: DataFrame, key: str = "vehicle", value: str = "qty") -> Data
     stats = (basic.join(marks, key).withColumns(whole)
              .withColumns({"cv": F.round(F.try_divide("std", "mean"), 2),
                            "spike_ratio": F.round(F.try_divide("max", "p95"), 2)}))
-    return stats.orderBy(F.desc("mean"), key)
+    return stats
 
 
 def rank_stats(stats: DataFrame, by: str, n: int, key: str = "vehicle") -> DataFrame:
@@ -386,12 +420,19 @@ def key_inventory(df: DataFrame, key: str = "vehicle", patterns: Sequence[str] =
                           (F.col("distinct_items") > many).alias("too_many")).orderBy("item")
 
 
+def _gaps(df: DataFrame) -> DataFrame:
+    """First and last day of each run of days without a row.  The window holds one row per
+    day of the calendar at most, whatever the size of the table."""
+    seen = df.where(F.col("date").isNotNull()).select("date").distinct()
+    later = F.lead("date").over(Window.partitionBy(F.lit(0)).orderBy("date"))
+    return (seen.withColumn("_next", later).where(F.datediff("_next", "date") > 1)
+            .select(F.date_add("date", 1).alias("gap_start"),
+                    F.date_sub("_next", 1).alias("gap_end")))
+
+
 def missing_days(df: DataFrame) -> DataFrame:
     """Days between the first and last date on which no series has a row."""
-    seen = df.select("date").distinct()
-    ends = seen.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    every = ends.select(F.explode(F.sequence("lo", "hi")).alias("date"))
-    return every.join(seen, "date", "left_anti")
+    return _gaps(df).select(F.explode(F.sequence("gap_start", "gap_end")).alias("date"))
 
 
 def calendar_missing(df: DataFrame) -> DataFrame:
@@ -404,19 +445,10 @@ def calendar_missing(df: DataFrame) -> DataFrame:
 
 
 def gap_islands(df: DataFrame, short: int = 3) -> DataFrame:
-    """Runs of consecutive missing days, with length and whether it is short.
-
-    One row per day of the calendar at most, whatever the size of the table.
-    """
-    by_date = Window.partitionBy("_all").orderBy("date")
-    runs = (missing_days(df).withColumn("_all", F.lit(0))
-            .withColumn("_run", F.date_sub("date", F.row_number().over(by_date)))
-            .groupBy("_run").agg(F.min("date").alias("gap_start"),
-                                 F.max("date").alias("gap_end"),
-                                 F.count("*").alias("gap_days")))
-    return (runs.select("gap_start", "gap_end", "gap_days",
-                        (F.col("gap_days") <= short).alias("short_gap"))
-            .orderBy("gap_start"))
+    """Runs of consecutive missing days, with length and whether it is short."""
+    return (_gaps(df).withColumn("gap_days", (F.datediff("gap_end", "gap_start") + 1)
+                                 .cast("bigint"))
+            .withColumn("short_gap", F.col("gap_days") <= short).orderBy("gap_start"))
 
 
 def longest_gap(df: DataFrame) -> DataFrame:

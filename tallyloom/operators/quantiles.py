@@ -1,10 +1,10 @@
 """Exact quantiles that never gather a whole column or a hot group in one task.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer, so it is
-used for groups of at most ``BUFFER_ROWS`` rows.  In larger groups the wanted ranks are
-located by counting: a coarse monotone bucket of the value, then a fine bucket inside the
-hit buckets, then the distinct values inside those.  Each step is a partial aggregation
-followed by a cumulative count over a few thousand rows.
+The built-in ``percentile`` keeps every distinct value of a group in one buffer.  Here the
+wanted ranks are located by counting, for groups of every size alike: a coarse monotone
+bucket of the value, then a fine bucket inside the hit buckets, then the distinct values
+inside those.  Each step is a partial aggregation followed by a cumulative count over the
+buckets of a group, whose number has a bound (some 360,000 for all doubles).
 
 Daily series are bounded by the calendar and call the built-in directly.
 """
@@ -21,7 +21,6 @@ from ..functions.columns import all_of
 
 COARSE_PER_EFOLD = 256    # buckets per factor e of the value
 FINE_BUCKETS = 65536      # buckets inside a coarse one
-BUFFER_ROWS = 1 << 20     # rows of a group that may share one buffer
 
 
 def _coarse(value: Column) -> Column:
@@ -45,7 +44,7 @@ def _hits(hist: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    keys: Sequence[str] = (), buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+                    keys: Sequence[str] = ()) -> DataFrame:
     """One row per key (one row in all without keys); a column per entry of ``probs``.
 
     Linear interpolation between the two neighbouring order statistics.
@@ -57,15 +56,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
         source, groups = source.withColumn("_all", F.lit(0)), ["_all"]
         return _by_counting(source, probs, groups).drop("_all")
     source = source.where(all_of([F.col(g).isNotNull() for g in groups]))
-    # at most one hot group per buffer_rows rows of the table: a proven bound
-    hot = F.broadcast(source.groupBy(*groups).agg(F.count("*").alias("_n"))
-                      .where(F.col("_n") > buffer_rows).select(*groups))
-    marks = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]))
-    buffered = (source.join(hot, groups, "left_anti").groupBy(*groups)
-                .agg(marks.alias("_q"))
-                .select(*groups, *[F.col("_q")[k].alias(n) for k, n in enumerate(probs)]))
-    counted = _by_counting(source.join(hot, groups, "left_semi"), probs, groups)
-    return buffered.unionByName(counted)
+    return _by_counting(source, probs, groups)
 
 
 def _by_counting(source: DataFrame, probs: Mapping[str, float],
@@ -80,14 +71,14 @@ def _by_counting(source: DataFrame, probs: Mapping[str, float],
     hist = (hist.withColumn("_last", last)
             .withColumn("_ranks", F.array_distinct(F.array(*wanted)))
             .withColumn("_base", F.lit(0).cast("bigint")))
-    # at most two buckets per probability are left of each hot group
-    coarse = F.broadcast(_hits(hist, groups, "_b").drop("_n"))
+    # at most two buckets per probability are left of each group
+    coarse = _hits(hist, groups, "_b").drop("_n")
     inside = source.join(coarse, [*groups, "_b"]).withColumn("_f", _fine(F.col("_v")))
 
     bucket, carried = [*groups, "_b"], ["_base", "_ranks", "_last"]
     hist = inside.groupBy(*bucket, "_f").agg(
         F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in carried])
-    fine = F.broadcast(_hits(hist, bucket, "_f").select(*bucket, "_f", *carried))
+    fine = _hits(hist, bucket, "_f").select(*bucket, "_f", *carried)
     values = (inside.drop(*carried).join(fine, [*bucket, "_f"])
               .groupBy(*bucket, "_f", "_v")
               .agg(F.count("*").alias("_n"), *[F.any_value(c).alias(c) for c in carried]))

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import percent, percent_change
 from .rows import attach_row
@@ -29,9 +28,19 @@ def mode_share(daily: DataFrame, modes: DataFrame) -> DataFrame:
 
 def mode_share_daily(daily: DataFrame, modes: DataFrame) -> DataFrame:
     """Share per day and mode, to two decimals; null on a day without traffic."""
-    whole = F.sum("value").over(Window.partitionBy("date"))
-    return by_mode(daily, modes).select(
-        "date", "mode", F.round(percent(F.col("value"), whole), 2).alias("share_pct"))
+    each = by_mode(daily, modes)
+    whole = each.groupBy("date").agg(F.sum("value").alias("_whole"))
+    return each.join(whole, "date").select("date", "mode", F.round(
+        percent(F.col("value"), F.col("_whole")), 2).alias("share_pct"))
+
+
+def in_years(*years: int):
+    """Days of any of the years, as bounds on the date, which a file scan can use."""
+    found = F.lit(False)
+    for y in years:
+        found = found | F.col("date").between(F.make_date(F.lit(y), F.lit(1), F.lit(1)),
+                                              F.make_date(F.lit(y), F.lit(12), F.lit(31)))
+    return found
 
 
 def yoy_mode(daily: DataFrame, modes: DataFrame, old: int, new: int,
@@ -48,7 +57,7 @@ def yoy_mode(daily: DataFrame, modes: DataFrame, old: int, new: int,
             if per_day else amount
 
     growth = F.round(percent_change(F.col("new_value"), F.col("old_value")), 2)
-    return (daily.where(F.year("date").isin(old, new)).join(modes, "line").groupBy("mode")
+    return (daily.where(in_years(old, new)).join(modes, "line").groupBy("mode")
             .agg(of(old).alias("old_value"), of(new).alias("new_value"))
             .withColumn("growth_pct", growth).orderBy(F.desc("growth_pct"), "mode"))
 

@@ -7,7 +7,7 @@ against the raw rows, whatever their number.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +20,19 @@ from ..sources.tables import (csv_header, require_rows, require_same_columns, sc
                               union_sources, with_ingest_seq)
 
 
-def read_years(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_years(spark: SparkSession, paths: Sequence[str],
+               headers: Mapping[str, str] = dim.RAW_HEADERS) -> DataFrame:
     """Yearly CSV files as one numbered raw table.
 
-    The files must have the same columns.  The table is written, so text is read once and
-    later passes take only the columns they need.
+    The files must have the same columns, in any order; ``headers`` gives our names for the
+    published ones.  The table is written, so text is read once and later passes take only
+    the columns they need.
     """
     first, *others = [csv_header(spark, p) for p in paths]
     for other in others:
         require_same_columns(first, other)
-    parts = [with_ingest_seq(scan_csv(spark, p), k) for k, p in enumerate(paths)]
+    parts = [with_ingest_seq(scan_csv(spark, p, headers=headers), k)
+             for k, p in enumerate(paths)]
     return require_rows(staged(union_sources(*parts)), "input")
 
 

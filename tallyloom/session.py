@@ -9,8 +9,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
+                  checkpoint_dir: str | None = None) -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
+    extra = {"spark.checkpoint.dir": checkpoint_dir} if checkpoint_dir else {}
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyloom")
@@ -20,6 +22,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=extra)
         .getOrCreate()
     )
 
@@ -40,7 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         configured = f"{warehouse}/_stages"
-        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,30 +23,57 @@ RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_C
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str],
-             schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+             schema: T.StructType = RAW_SCHEMA, headers: Mapping[str, str] | None = None,
+             by_position: bool = False) -> DataFrame:
     """Read CSV files with a header, plus ``source_file``.
 
-    The schema is given, so there is no inference pass over the files.  Header names may
-    differ from ours (they are matched by position), as they do in the published files.
-    Texts that stand for a missing value become null.
+    The schema is given, so there is no inference pass over the files.  Columns are bound
+    by name, each path in the order of its own header; ``headers`` translates published
+    names into ours.  A path whose names are not those of the schema is an error, and so is
+    a file in a folder whose header differs from its neighbours'.  ``by_position`` ignores
+    the names.  Texts that stand for a missing value become null.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    read = (spark.read.schema(schema)
-            .options(header=True, enforceSchema=True, mode="PERMISSIVE", escape='"')
-            .csv(paths))
-    return read.select(
-        *[F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c) for c in schema.names],
-        F.col("_metadata.file_name").alias("source_file"))
+    headers = headers or {}
+
+    def one(path: str) -> DataFrame:
+        found = csv_header(spark, path).columns
+        ours = schema.names if by_position else [headers.get(c, c) for c in found]
+        if sorted(ours) != sorted(schema.names) or len(found) != len(ours):
+            raise ValueError(f"columns of {path}: {found}, wanted: {schema.names}")
+        named = T.StructType([T.StructField(f, schema[c].dataType)
+                              for f, c in zip(found, ours)])
+        read = (spark.read.schema(named)
+                .options(header=True, enforceSchema=by_position, mode="PERMISSIVE", escape='"')
+                .csv(path))
+        place = dict(zip(ours, found))
+        at = lambda c: read[f"`{place[c]}`"]
+        return read.select(
+            *[F.when(~at(c).isin(*MISSING_TEXTS), at(c)).alias(c) for c in schema.names],
+            F.col("_metadata.file_name").alias("source_file"))
+
+    return reduce(DataFrame.unionByName, map(one, paths))
 
 
 def with_ingest_seq(df: DataFrame, source: int = 0) -> DataFrame:
     """Number the rows of one source, to decide which of several copies came first.
 
-    Sources keep their given order and rows that of their split.  Apply it to a scan and
-    write the result: the numbers belong to that reading of the files.
+    The number is a struct, compared field by field: the source in its given order, then
+    file, block of the file, and row.  Its fields have room for any table; nothing is packed.
+    A frame that is not a scan of files has no file and block, only rows.  Apply it to a
+    scan and write the result: the numbers belong to that reading of the files.
     """
-    row = F.monotonically_increasing_id()
-    return df.withColumn("ingest_seq", F.lit(source).cast("bigint") * F.lit(1 << 50) + row)
+    def numbered(file, block) -> DataFrame:
+        return df.withColumn("ingest_seq", F.struct(
+            F.lit(source).cast("bigint").alias("source"), file.alias("file"),
+            block.alias("block"), F.monotonically_increasing_id().alias("row")))
+
+    try:
+        rows = numbered(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+        rows.schema                     # fails here unless the rows are read from files
+        return rows
+    except AnalysisException:
+        return numbered(F.lit(""), F.lit(0).cast("bigint"))
 
 
 def csv_header(spark: SparkSession, path: str) -> DataFrame:
@@ -57,22 +85,14 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _filled(df: DataFrame, side: str) -> DataFrame:
-    """Non-null cells per column, from one pass."""
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n_{k}") for k, c in enumerate(df.columns)])
-    return counts.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"n_{k}").alias(f"filled_{side}"))
-        for k, c in enumerate(df.columns)])))
-
-
 def schema_check(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row per column seen on either side: where it is missing, and how many cells a
-    missing partner would concern."""
-    return (_filled(left, "left").join(_filled(right, "right"), "column_name", "full")
-            .select("column_name", F.col("filled_left").isNotNull().alias("in_left"),
-                    F.col("filled_right").isNotNull().alias("in_right"),
-                    "filled_left", "filled_right")
-            .withColumn("matches", F.col("in_left") & F.col("in_right")))
+    """One row per column seen on either side, and where it is missing.  Only the names are
+    compared; no row is read."""
+    names = sorted({*left.columns, *right.columns})
+    rows = [(c, c in left.columns, c in right.columns,
+             c in left.columns and c in right.columns) for c in names]
+    return left.sparkSession.createDataFrame(
+        rows, "column_name string, in_left boolean, in_right boolean, matches boolean")
 
 
 def require_same_columns(left: DataFrame, right: DataFrame) -> None:

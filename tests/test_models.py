@@ -280,3 +280,21 @@ def test_weekday_ratio_variants(spark):
 
 def test_schema_of_sources():
     assert tables.RAW_SCHEMA.names == list(tables.RAW_COLUMNS)
+
+
+def test_correlation_of_chosen_pairs(spark):
+    daily = series(spark, {"a": [1, 2, 4, 3], "b": [2, 3, 5, 4], "c": [4, 1, 2, 9]})
+    every = {(r["a"], r["b"]): r["r"] for r in k.corr_matrix(daily).collect()}
+    pairs = spark.createDataFrame([("c", "a")], "a string, b string")
+    some = {(r["a"], r["b"]): r["r"] for r in k.corr_matrix(daily, pairs=pairs).collect()}
+    assert some == {("a", "c"): pytest.approx(every["a", "c"])}
+    strong = k.corr_matrix(daily, least=0.9).collect()
+    assert [(r["a"], r["b"]) for r in strong] == [("a", "b")]
+
+
+def test_profile_distance_in_parts(spark):
+    rng = np.random.default_rng(5)
+    daily = series(spark, {x: list(rng.random(40) + 1) for x in "abcde"})
+    whole = by_key(k.corr_profile_distance(daily), "a", "b", "distance")
+    parts = by_key(k.corr_profile_distance(daily, axis_lines=2), "a", "b", "distance")
+    assert len(whole) == 10 and parts == {p: pytest.approx(d) for p, d in whole.items()}

@@ -126,13 +126,12 @@ def test_exact_quantiles_by_counting(spark, name):
         assert got[column] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-15)
 
 
-@pytest.mark.parametrize("buffer", [0, 1000, 1 << 20])
-def test_exact_quantiles_per_key(spark, buffer):
+def test_exact_quantiles_per_key(spark):
     groups = distributions()
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs],
                                "key string, qty double")
     got = {r["key"]: r for r in
-           exact_quantiles(df, "qty", PROBS, ["key"], buffer_rows=buffer).collect()}
+           exact_quantiles(df, "qty", PROBS, ["key"]).collect()}
     assert set(got) == set(groups)
     for name, values in groups.items():
         for column, p in PROBS.items():
@@ -178,7 +177,7 @@ def test_csv_source(spark, tmp_path):
             "ทางราง,x,สาธารณะ,n/a,รถไฟฟ้า ARL,02/01/2026,คน,nan\n")
     path = tmp_path / "passengers.csv"
     path.write_text(text, encoding="utf-8")
-    df = tables.scan_csv(spark, str(path))
+    df = tables.scan_csv(spark, str(path), by_position=True)
     got = df.select("vehicle", "agency", "qty_raw").collect()
     assert [tuple(r) for r in got] == [("รถไฟฟ้า BTS", "รฟม.", "286,004"), (N, N, N),
                                        ("รถไฟฟ้า ARL", N, N)]
@@ -196,3 +195,50 @@ def test_input_checks(spark):
     with pytest.raises(ValueError):
         tables.require_rows(one.where("a = 0"))
     assert tables.union_sources(one, one.select("b", "a")).count() == 2
+
+
+def test_columns_bind_by_name(spark, tmp_path):
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    names = list(tables.RAW_COLUMNS)
+    one.write_text(",".join(names) + "\nm,p,o,a,v,1/1/2025,persons,20\n", "utf-8")
+    swapped = names[:-2] + ["qty_raw", "unit"]
+    two.write_text(",".join(swapped) + "\nm,p,o,a,v,1/1/2026,30,persons\n", "utf-8")
+    got = tables.scan_csv(spark, [str(one), str(two)]).select("unit", "qty_raw").collect()
+    assert sorted(tuple(r) for r in got) == [("persons", "20"), ("persons", "30")]
+    renamed = tmp_path / "renamed.csv"
+    renamed.write_text(",".join(["x", *names[1:]]) + "\nm,p,o,a,v,1/1/2025,persons,20\n", "utf-8")
+    with pytest.raises(ValueError):
+        tables.scan_csv(spark, str(renamed))
+    assert tables.scan_csv(spark, str(renamed), headers={"x": "mode"}).first()["mode"] == "m"
+
+
+def structs(spark, rows):
+    """Rows numbered as two sources with split ids far beyond what a packed number holds."""
+    df = spark.createDataFrame(rows, "vehicle string, date date, qty double, source long, "
+                                     "split long, line long")
+    row = F.shiftleft(F.col("split"), 33) + F.col("line")
+    return df.select("vehicle", "date", "qty", F.struct(
+        "source", F.lit("f").alias("file"), F.lit(0).cast("bigint").alias("block"),
+        row.alias("row")).alias("ingest_seq"))
+
+
+def test_row_numbers_without_a_cap(spark):
+    d = day(0)
+    df = structs(spark, [("a", d, 1.0, 0, 131_072, 0), ("a", d, 2.0, 0, 200_000, 5),
+                         ("a", d, 3.0, 1, 0, 0), ("a", d, 4.0, 1, 300_000, 1),
+                         (None, d, 5.0, 9_000, 1, 1), (None, d, 6.0, 9_000, 400_000, 2)])
+    assert sorted(r["qty"] for r in q.dedup_first(df).collect()) == [1.0, 5.0]
+    assert sorted(r["qty"] for r in q.duplicate_keys(df).collect()) == [2.0, 3.0, 4.0, 6.0]
+    assert q.duplicate_cells(df, ("date", "vehicle")).count() == 6
+    assert q.duplicate_summary(df).first().asDict() == {
+        "rows": 6, "repeats": 4, "distinct_keys": 2}
+    gap = structs(spark, [("a", d, 1.0, 0, 131_072, 0), ("a", d, None, 0, 200_000, 5),
+                          ("a", d, 3.0, 1, 0, 0)])
+    filled = q.interpolate_rows(gap).orderBy("ingest_seq").collect()
+    assert [r["qty"] for r in filled] == [1.0, 2.0, 3.0]
+
+
+def test_value_counts_leave_nulls_out(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "v string")
+    assert [tuple(r) for r in q.value_counts(df, "v").collect()] == [("a", 2)]
+    assert q.value_counts(df, "v", keep_nulls=True).count() == 2
