@@ -105,16 +105,17 @@ def tested(string: Column) -> Column:
             return let(indexes, lambda x: rest(chars, n, k, chi, x))
 
         def rest(chars, n, k, chi, x):
+            # sums used inside other sums are bound first, or they would be taken per item
             middle = (k - 1) / 2
             pairs = F.sequence(F.lit(1), n - 1)
             runs = 1 + total(pairs, lambda i: (
                 (F.get(x, i) > middle) != (F.get(x, i - 1) > middle)).cast("double"))
             high = total(x, lambda v: (v > middle).cast("double"))
-            expected = 2 * high * (n - high) / n + 1
-            spread = (expected - 1) * (expected - 2) / (n - 1)
-            mean = total(x, lambda v: v) / n
-            var = total(x, lambda v: (v - mean) * (v - mean))
-            cov = total(pairs, lambda i: (F.get(x, i) - mean) * (F.get(x, i - 1) - mean))
+            run_z = let(high, lambda h: let(2 * h * (n - h) / n + 1, lambda e: F.try_divide(
+                runs - e, F.sqrt((e - 1) * (e - 2) / (n - 1)))))
+            serial = let(total(x, lambda v: v) / n, lambda mean: F.try_divide(
+                total(pairs, lambda i: (F.get(x, i) - mean) * (F.get(x, i - 1) - mean)),
+                total(x, lambda v: (v - mean) * (v - mean))))
             kinds = F.transform(chars, lambda c: F.when(F.rlike(c, F.lit("[a-z]")), 0)
                                 .when(F.rlike(c, F.lit("[A-Z]")), 1)
                                 .when(F.rlike(c, F.lit("[0-9]")), 2).otherwise(3))
@@ -122,10 +123,8 @@ def tested(string: Column) -> Column:
                 F.get(q, i) != F.get(q, i - 1)).cast("double")))
             return F.struct(
                 chi.alias("chi"),
-                F.coalesce(F.try_divide(runs - expected, F.sqrt(spread)),
-                           F.lit(99.0)).alias("runs"),
-                F.coalesce(F.try_divide(cov, var) * F.sqrt(n.cast("double")),
-                           F.lit(99.0)).alias("serial"),
+                F.coalesce(run_z, F.lit(99.0)).alias("runs"),
+                F.coalesce(serial * F.sqrt(n.cast("double")), F.lit(99.0)).alias("serial"),
                 let(changes.cast("int"), lambda c: poisson_tail(c, n * F.lit(CHANGES))
                     ).alias("p"))
 
