@@ -59,8 +59,9 @@ def lower_ascii(text: Column) -> Column:
 
 def small(df: DataFrame) -> DataFrame:
     """Write a small table and read it back: the planner then knows its size, and
-    broadcasts it or not by ``spark.sql.autoBroadcastJoinThreshold``."""
-    return staged(df.coalesce(1))
+    broadcasts it or not by ``spark.sql.autoBroadcastJoinThreshold``.  Only its few rows go
+    to one task; what makes them stays spread out."""
+    return staged(df.repartition(1))
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
