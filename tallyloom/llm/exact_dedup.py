@@ -135,5 +135,6 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     so the copies of one text spread over all tasks."""
     rows, norm, place = located(docs, text)
     found = _groups(rows, norm, place, key, digest, None)
-    gone = found.where(~F.col("kept")).select(F.col("place").alias("_gone"))
-    return rows.join(gone, F.col(place) == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = unused(rows.columns, "_gone")
+    dropped = found.where(~F.col("kept")).select(F.col("place").alias(gone))
+    return rows.join(dropped, F.col(place) == F.col(gone), "left_anti").select(*docs.columns)
