@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from checks import compare
+from checks import compare, registry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,11 +15,12 @@ def duck():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     assert compare.difference(spark, duck, FOLDER, name) is None
 
 
 def test_contract(spark):
+    assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
