@@ -31,7 +31,7 @@ def full_window(aggregate, value: Column, before: int, after: int = 0,
 
 
 def daily_series(daily: DataFrame) -> DataFrame:
-    return daily.select("date", "line", "value").orderBy("date", "line")
+    return daily.select("date", "line", "value")
 
 
 def base_index(daily: DataFrame, days: int = 7) -> DataFrame:

@@ -168,10 +168,11 @@ def cv_errors(train: DataFrame, holidays: DataFrame, period: int = PERIOD,
     shuffled plan.
     """
     cutoffs = cv_cutoffs(train, period, horizon, initial)
-    rows = train.select("line", "ds", "y").join(cutoffs, "line").where(
-        F.col("ds") <= F.date_add("cutoff", horizon))
+    # holidays first: afterwards each row is there once per later cut-off
+    rows = train.select("line", "ds", "y").join(holiday_keys(holidays), "ds", "left")
+    rows = rows.join(cutoffs, "line").where(F.col("ds") <= F.date_add("cutoff", horizon))
     ahead = F.col("ds") > F.col("cutoff")
-    frame = rows.join(holiday_keys(holidays), "ds", "left").select(
+    frame = rows.select(
         "line", "cutoff", "ds", "holiday_key", F.when(~ahead, F.col("y")).alias("y"),
         F.when(ahead, F.col("y")).alias("actual"))
     fitted = decompose(frame, ["line", "cutoff"]).where(F.col("ds") > F.col("cutoff"))
@@ -185,8 +186,7 @@ def cv_by_horizon(errors: DataFrame) -> DataFrame:
     return errors.groupBy("line", "horizon_day").agg(
         F.count("*").alias("n"), F.avg(miss).alias("mae"),
         F.sqrt(F.avg(miss * miss)).alias("rmse"),
-        (F.avg(F.when(F.col("y") > 0, miss / F.col("y"))) * 100).alias("mape")).orderBy(
-        "line", "horizon_day")
+        (F.avg(F.when(F.col("y") > 0, miss / F.col("y"))) * 100).alias("mape"))
 
 
 # ---------------------------------------------------------------- verdicts

@@ -38,8 +38,7 @@ def daily_cells(df: DataFrame, line: str = "line", day: str = "date",
 
 def pivot_daily(cells: DataFrame, lines: Sequence[str]) -> DataFrame:
     """Wide form for presentation.  The lines are given, so no extra pass finds them."""
-    return (cells.groupBy("date").pivot("line", list(lines)).agg(F.sum("value"))
-            .orderBy("date"))
+    return cells.groupBy("date").pivot("line", list(lines)).agg(F.sum("value"))
 
 
 def unpivot_daily(wide: DataFrame, lines: Sequence[str]) -> DataFrame:
