@@ -31,7 +31,7 @@ from .base import text_of, worker_cache
 
 ship_by_value(__name__)
 
-CACHED_PIECES = 1 << 19     # pieces a worker keeps; beyond that it starts anew
+CACHED_PIECES = 1 << 18     # pieces a worker keeps; beyond that it starts anew
 PART_CHARS = 1 << 20        # longer texts are cut into pieces part by part
 
 
@@ -214,13 +214,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            coded = [codec.encode(t) for t in texts]
-            columns = [batch.column("key"), pa.array(
-                [memoryview(c).cast("I").tolist() for c in coded], pa.list_(pa.int32()))]
-            names = ["key", "ids"]
+            coded = [codec.encode(t.as_py()) for t in batch.column("text")]
+            # ids stay packed: as Python numbers a batch would take nine times the memory
+            ends = np.cumsum([0, *[len(c) // 4 for c in coded]], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(coded), "<i4"))
+            columns, names = [batch.column("key"), ids], ["key", "ids"]
             if offsets:
-                both = [codec.offsets(t, c) for t, c in zip(texts, coded)]
+                both = [codec.offsets(t.as_py(), c) for t, c in zip(batch.column("text"), coded)]
                 columns += [pa.array([b[k] for b in both], pa.list_(pa.int32()))
                             for k in (0, 1)]
                 names += ["starts", "ends"]

@@ -8,7 +8,6 @@ gives most of it, words near the span the rest.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
