@@ -33,6 +33,10 @@ RAW_HEADERS = {
     "ปริมาณ": "qty_raw",
 }
 
+LEADS, TOGETHER = " leads ", "Simultaneous demand"          # verdicts on a pair of lines
+NAIVE, WEEKLY, MODEL = "Naive (t-1)", "Seasonal Naive (t-7)", "Model"
+BIAS_GRADES = ("Excellent", "Acceptable", "Biased")
+
 LINE_OF_VEHICLE = {
     "รถไฟฟ้า BTS": "BTS",
     "รถไฟฟ้าสายสีน้ำเงิน": "MRT Blue",

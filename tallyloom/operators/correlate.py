@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..dimensions import LEADS, TOGETHER
 from ..functions.columns import safe_corr, zero_to_null
 from ..session import ship_by_value
 
@@ -204,9 +205,9 @@ def lag_corr(daily: DataFrame, pairs: DataFrame, threshold: float = 0.05) -> Dat
         safe_corr(x, F.col("next_day")).alias("a_leads"),
         safe_corr(x, F.col("day_before")).alias("b_leads"))
     verdict = (F.when(F.col("a_leads") > F.col("lag0") + threshold,
-                      F.concat("line_a", F.lit(" leads "), "line_b"))
+                      F.concat("line_a", F.lit(LEADS), "line_b"))
                .when(F.col("b_leads") > F.col("lag0") + threshold,
-                     F.concat("line_b", F.lit(" leads "), "line_a"))
-               .otherwise("Simultaneous demand"))
+                     F.concat("line_b", F.lit(LEADS), "line_a"))
+               .otherwise(TOGETHER))
     return stats.select("line_a", "line_b", *[F.round(c, 3).alias(c) for c in
                         ("lag0", "a_leads", "b_leads")], verdict.alias("verdict"))

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..dimensions import BIAS_GRADES, MODEL, NAIVE, WEEKLY
 from ..functions.columns import percent, safe_corr, whole_number
 from .forecast import FORECAST, HORIZON, decompose, holiday_keys
-from .rows import attach_row
 
 PERIOD = 30
 
@@ -76,9 +76,9 @@ def baseline_compare(clean: DataFrame, min_rows: int = 3) -> DataFrame:
     return stats.select("line", (F.col("model_mae") < F.col("naive_mae")).alias("model_wins"),
                         F.round(gain, 1).alias("gain_pct"),
                         F.inline(F.array(
-                            row("Naive (t-1)", "naive", F.lit(True)),
-                            row("Seasonal Naive (t-7)", "week", F.col("enough")),
-                            row("Model", "model", F.lit(True), smape=True)))).orderBy(
+                            row(NAIVE, "naive", F.lit(True)),
+                            row(WEEKLY, "week", F.col("enough")),
+                            row(MODEL, "model", F.lit(True), smape=True)))).orderBy(
         "line", "model")
 
 
@@ -228,7 +228,8 @@ def line_scorecard(clean: DataFrame, min_rows: int = 5) -> DataFrame:
 
 def bias_grade(clean: DataFrame) -> DataFrame:
     bias = percent(F.abs("mean_residual"), F.col("_level"))
-    grade = F.when(bias < 1, "Excellent").when(bias < 3, "Acceptable").otherwise("Biased")
+    best, fair, poor = BIAS_GRADES
+    grade = F.when(bias < 1, best).when(bias < 3, fair).otherwise(poor)
     return clean.groupBy("line").agg(
         F.avg(F.col("y") - F.col("yhat")).alias("mean_residual"),
         F.avg("y").alias("_level")).select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..dimensions import MODEL, NAIVE
 from ..functions.columns import is_weekend, percent, percent_change, whole_number, zero_to_null
 from .rows import attach_row
 
@@ -173,7 +174,7 @@ def network_evidence(summary: DataFrame, hubs: DataFrame, path_length: DataFrame
                                          F.lit(line).alias("label"), F.col("v").alias("value"))
     of = lambda model: F.max(F.when(F.col("model") == model, F.col("mape")))
     gain = baselines.where(F.col("line") == line).agg(
-        (of("Naive (t-1)") - of("Model")).alias("v")).select(
+        (of(NAIVE) - of(MODEL)).alias("v")).select(
         F.lit("mape_gain_over_naive").alias("metric"), F.lit(line).alias("label"),
         F.col("v").alias("value"))
     return net.unionByName(hub).unionByName(ahead).unionByName(gain)
