@@ -131,6 +131,52 @@ def test_near_copies_leave_one(spark):
     assert simhash.keep_one(table(spark, [])).count() == 0
 
 
+def similarity(a, b, words=5):
+    sets = [{tuple(w[k:k + words]) for k in range(max(1, len(w) - words + 1))}
+            for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def classes_by_all_pairs(texts, least=0.8):
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and similarity(texts[a], texts[b]) >= least:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if r == old else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("group", [1024, 8])
+def test_near_copies_by_exact_similarity(spark, group):
+    rng = random.Random(21)
+    vocab = [f"v{k}" for k in range(9000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = {}
+    for k in range(60):                         # pairs on both sides of 0.8
+        base = draw(300)
+        texts[10 * k] = " ".join(base)
+        tail = round(296 * (1 - s) / (1 + s)) if (s := rng.uniform(0.66, 0.92)) else 0
+        texts[10 * k + 1] = " ".join(base[:300 - tail] + draw(tail))
+    passage = draw(240)                         # a family that shares a passage only
+    for k in range(12):
+        texts[1000 + k] = " ".join(passage + draw(90))
+    base = draw(200)                            # one large group of near copies
+    for k in range(40):
+        v = list(base)
+        v[rng.randrange(200)] = f"changed{k}"
+        texts[2000 + k] = " ".join(v)
+    want = classes_by_all_pairs(texts)
+    docs = table(spark, [(k, t, "s") for k, t in texts.items()])
+    got = {r["doc_id"]: r["component_id"]
+           for r in simhash.similar_classes(docs, group=group).collect()}
+    assert got == want
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == {k for k, r in want.items() if k == r}
+    assert 10 < sum(k != r for k, r in want.items() if k < 1000) < 50
+    assert all(want[k] == k for k in range(1000, 1012))
+
+
 # ---------------------------------------------------------------- exact dedup
 
 
