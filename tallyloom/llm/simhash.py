@@ -379,14 +379,13 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words:
 
 def set_prints(docs: DataFrame, *, key: str, text: str, words: int, lanes: int) -> DataFrame:
     """``key, hash, id, f0, f1, ...`` for every row: the text's hash, the name of its
-    shingle set and the fingerprint."""
+    shingle set and the fingerprint of that set, in which repeats do not count."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
-            found = np.array([fingerprint(t.as_py(), words, lanes)
-                              for t in batch.column("text")], "<i8").reshape(-1, lanes)
+            found = np.array([majority([s], lanes) for s in sets], "<i8").reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("hash"),
                  pa.array([set_id(s) for s in sets], pa.int64()),

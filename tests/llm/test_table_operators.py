@@ -177,6 +177,20 @@ def test_near_copies_by_exact_similarity(spark, group):
     assert all(want[k] == k for k in range(1000, 1012))
 
 
+def test_repeats_do_not_count_for_near_copies(spark):
+    rng = random.Random(22)
+    vocab = [f"v{k}" for k in range(9000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage, base = draw(10) * 20, draw(300)
+    texts = {k: " ".join(draw(210) + passage) for k in range(8)}        # unrelated
+    texts[100] = " ".join(base + draw(10) * 40)     # near copies; other repeats in each
+    texts[101] = " ".join(base + draw(10) * 40)
+    assert similarity(texts[0], texts[1]) < 0.1 and similarity(texts[100], texts[101]) > 0.8
+    kept = {r["doc_id"] for r in simhash.keep_one(
+        table(spark, [(k, t, "s") for k, t in texts.items()])).collect()}
+    assert kept == {*range(8), 100}
+
+
 # ---------------------------------------------------------------- exact dedup
 
 
