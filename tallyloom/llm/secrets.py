@@ -75,13 +75,19 @@ def normal_of_chi(chi: Column, free: Column) -> Column:
 
 
 def poisson_tail(n: Column, mean: Column) -> Column:
-    """Probability of ``n`` or more."""
+    """Probability of ``n`` or more.
+
+    The terms below ``n`` are summed relative to the latest one, whose logarithm is kept:
+    the first one is zero in floating point from means of some 745 on.
+    """
     terms = F.aggregate(
         F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum")),
-        lambda a, k: let(a["term"] * mean / k, lambda t: F.struct(
-            t.alias("term"), F.when(k < n, a["sum"] + t).otherwise(a["sum"]).alias("sum"))))
-    return F.when(n <= 0, 1.0).otherwise(F.greatest(F.lit(1e-15), 1 - terms["sum"]))
+        F.struct((-mean).cast("double").alias("log"), F.lit(1.0).alias("sum")),
+        lambda a, k: F.when(k < n, let(F.log(mean / k), lambda d: F.struct(
+            (a["log"] + d).alias("log"), (1 + a["sum"] * F.exp(-d)).alias("sum")))
+            ).otherwise(a))
+    below = let(terms, lambda t: F.exp(t["log"] + F.log(t["sum"])))
+    return F.when(n <= 0, 1.0).otherwise(F.greatest(F.lit(1e-15), 1 - below))
 
 
 def total(items: Column, value: Callable[[Column], Column]) -> Column:

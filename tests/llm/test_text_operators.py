@@ -280,3 +280,23 @@ def test_poisson_tail(spark):
         got = df.select(secrets.poisson_tail(F.lit(n), F.lit(mean)).alias("p")).first()["p"]
         assert got == pytest.approx(1 - sum(exp(-mean) * mean ** k / factorial(k)
                                             for k in range(n)), abs=1e-12)
+
+
+def test_long_random_strings_are_found(spark):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(letters) for _ in range(10_000)) for _ in range(6)]
+    docs = spark.createDataFrame([(k, f"it is {s} .") for k, s in enumerate(keys)],
+                                 "doc_id long, text string")
+    found = {r["doc_id"]: r["random"] for r in secrets.find_secrets(docs).collect()}
+    assert sum(bool(f) for f in found.values()) >= 5
+    assert all(tuple(f[0]) == (6, 10_006) for f in found.values() if f)
+
+
+def test_poisson_tail_of_large_means(spark):
+    from math import exp, lgamma, log
+    df = spark.range(1)
+    for n, mean in ((1300, 1200.0), (1200, 1200.0), (1100, 1200.0), (60, 30.0)):
+        got = df.select(secrets.poisson_tail(F.lit(n), F.lit(mean)).alias("p")).first()["p"]
+        want = sum(exp(-mean + k * log(mean) - lgamma(k + 1)) for k in range(n, n + 2000))
+        assert got == pytest.approx(want, rel=1e-3, abs=1e-12)
