@@ -181,6 +181,22 @@ def test_pii_checksums_and_context():
     assert kinds("part 030 1234567 now") == []
 
 
+def test_accounts_in_a_row_and_of_all_countries():
+    def accounts(text):
+        return [text[s.start:s.end] for s in pii.spans_of(text) if s.kind == "iban"]
+
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert accounts(f"{one} {two}") == [one, two]
+    assert accounts(f"AB12 CODE 9999 1111 2222 {two}") == [two]        # no account before it
+    assert accounts(f"DE88 3704 0044 0532 0130 00 {two}") == [two]     # checksum fails
+    assert accounts("DE89  3704 0044 0532 0130 00") == []
+    for a in ("BR1800360305000010009795493C1", "UA213223130000026007233566001",
+              "RS35260005601001611379", "TN5910006035183598478831",
+              "KW81CBKU0000000000001234560101", "QA58DOHB00001234567890ABCDEFG",
+              "PK36SCBL0000001123456702", "KZ86125KZT5004100100", "GE29NB0000000101904917"):
+        assert accounts(f"pay to {a}.") == [a], a
+
+
 # ---------------------------------------------------------------- secrets
 
 
