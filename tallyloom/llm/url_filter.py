@@ -13,6 +13,7 @@ The tree is grown from counts per host and generalised path, never from single p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from .base import lower_ascii, small
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
 
-DEPTH = 4                   # levels of the tree; deeper segments are one tail
 MANY, RARE = 16, 8          # more children than this, with fewer pages each, vary
 DIFFERS = 1.96              # z of two shares that differ
 LEAST = 5                   # labelled pages on either side of a comparison
@@ -64,21 +64,21 @@ def general(segment: Column) -> Column:
     return F.coalesce(F.concat(shape, ending), segment)
 
 
-def segments(path: Column, depth: int) -> Column:
-    """Generalised segments; what lies deeper than ``depth`` is one tail."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    kept = F.transform(F.slice(parts, 1, depth), general)
-    return F.when(F.size(parts) > depth, F.concat(kept, F.array(F.lit("{tail}")))).otherwise(kept)
+def segments(path: Column) -> Column:
+    """Generalised segments, all of them."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
-def grow(shapes: DataFrame, depth: int) -> DataFrame:
+def grow(shapes: DataFrame) -> DataFrame:
     """``shapes(host, segments, n, labelled, bad)`` with their ``template``.
 
     Level by level, each child's counts are held against those of its siblings; the sums
-    are aggregates, so a node with very many children is no single group.
+    are aggregates, so a node with very many children is no single group.  Paths leave when
+    their last segment is named; it ends when none is left.
     """
-    rows = shapes.withColumn("template", F.lit(""))
-    for level in range(depth + 1):
+    rows, level = shapes.withColumn("template", F.lit("")), 0
+    done = [rows.where(F.size("segments") == 0)]
+    while not (rows := rows.where(F.size("segments") > level)).isEmpty():
         child = F.get(F.col("segments"), F.lit(level))
         kids = (rows.where(child.isNotNull())
                 .groupBy("host", "template", child.alias("child"))
@@ -103,10 +103,12 @@ def grow(shapes: DataFrame, depth: int) -> DataFrame:
                          & (child == k.child), "left").withColumn(
             "template", F.when(k.isNotNull(), F.concat_ws("/", rows.template, k["name"]))
             .otherwise(rows.template)).drop("k"))
-    return rows
+        level += 1
+        done.append(rows.where(F.size("segments") == level))
+    return reduce(DataFrame.unionByName, done)
 
 
-def bad_templates(pages: DataFrame, depth: int = DEPTH, block: float = BLOCK) -> DataFrame:
+def bad_templates(pages: DataFrame, block: float = BLOCK) -> DataFrame:
     """``host, shape`` of all generalised paths whose template is to be blocked.
 
     ``pages`` has host, segments and ``bad`` (null without a label).
@@ -114,7 +116,7 @@ def bad_templates(pages: DataFrame, depth: int = DEPTH, block: float = BLOCK) ->
     shapes = pages.groupBy("host", "segments").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    leaves = grow(staged(shapes), depth)
+    leaves = staged(grow(staged(shapes)))
     corpus = leaves.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("share"))
     judged = attach_row(leaves.groupBy("host", "template").agg(
         F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), corpus)
@@ -126,7 +128,7 @@ def bad_templates(pages: DataFrame, depth: int = DEPTH, block: float = BLOCK) ->
 
 def judge(pages: DataFrame, labels: DataFrame, *, key: str = "page_id", url: str = "url",
           label_key: str = "doc_id", rules: Sequence[tuple[str, str]] = RULES,
-          depth: int = DEPTH, block: float = BLOCK) -> DataFrame:
+          block: float = BLOCK) -> DataFrame:
     """``key, host, path, rule, verdict`` for every page.
 
     A label says a page is bad if its quality is 0 or it is toxic; pages without one, or
@@ -137,11 +139,11 @@ def judge(pages: DataFrame, labels: DataFrame, *, key: str = "page_id", url: str
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("segments", segments(F.col("path"), depth))
+    rows = rows.withColumn("segments", segments(F.col("path")))
     said = labels.groupBy(F.col(label_key).alias("label_key")).agg(F.max(
         ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     known = rows.join(said, F.col("key") == F.col("label_key"), "left")
-    bad = small(bad_templates(known.select("host", "segments", "bad"), depth, block))
+    bad = small(bad_templates(known.select("host", "segments", "bad"), block))
     side = bad.select(F.struct("host", "segments").alias("b"))
     judged = rows.join(side, (rows.host == F.col("b.host"))
                        & (rows.segments == F.col("b.segments")), "left")

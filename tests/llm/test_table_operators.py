@@ -381,6 +381,17 @@ def test_bad_templates_are_blocked(spark):
     assert {got[k] for k in range(1000, 1120)} | {got[k] for k in range(2000, 2120)} == {"allow"}
 
 
+def test_deep_branches_are_told_apart(spark):
+    rows = [(1000 * b + k, f"http://one.net/2020/01/05/shop/{name}/x/{k}")
+            for b, name in enumerate(("spam", "news")) for k in range(60)]
+    labels = [(i, int(i >= 1000), 0) for i, _ in rows if i % 2]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(
+        spark.createDataFrame(rows, "page_id long, url string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert {got[k] for k in range(60)} == {"block"}
+    assert {got[1000 + k] for k in range(60)} == {"allow"}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
