@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import (byte_bpe, exact_dedup, mixing, pii, quality, secrets, sharding, simhash,
-               token_counts, url_filter)
+from . import (byte_bpe, collocations, exact_dedup, mixing, pii, quality, secrets, sharding,
+               simhash, token_counts, url_filter)
 from .base import read, small, text_of
 
 QUERIES = {}
@@ -141,3 +141,40 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text."""
     return secrets.digests(secrets.find_secrets(read(spark, folder, "documents"),
                                                 stage=staged))
+
+
+@query(sql=r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p
+           FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+                 FROM documents)),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+start AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS phrase, count(*) AS f
+      FROM start, (VALUES (1), (2), (3)) v(s) WHERE i + s - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE s = 1 GROUP BY lang),
+c AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS q FROM g
+      WHERE s > 1 AND f >= 10),
+parts AS (SELECT c.*, k, array_to_string(q[1 : k], ' ') AS first,
+                 array_to_string(q[k + 1 : s], ' ') AS rest
+          FROM c, (VALUES (1), (2)) v(k) WHERE k < s),
+often AS (SELECT lang, phrase, f FROM g WHERE f >= 10),
+cut AS (SELECT parts.*, x.f AS l, y.f AS r,
+               (1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS score
+        FROM parts JOIN often x ON x.lang = parts.lang AND x.phrase = first
+        JOIN often y ON y.lang = parts.lang AND y.phrase = rest),
+best AS (SELECT * FROM cut
+         QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+cover AS (SELECT lang, phrase, max(a) AS longer FROM (
+            SELECT lang, array_to_string(q[i : i + 1], ' ') AS phrase, a
+            FROM c, (VALUES (1), (2)) v(i) WHERE s = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
+                                encode(phrase)) AS rank,
+       phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+       score::BIGINT AS score
+FROM best LEFT JOIN cover USING (lang, phrase) JOIN n USING (lang)
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000""")
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of each language."""
+    return collocations.collocations(read(spark, folder, "documents"))
