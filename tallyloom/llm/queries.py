@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from . import (byte_bpe, collocations, exact_dedup, mixing, pii, quality, secrets, sharding,
-               simhash, token_counts, url_filter)
+               simhash, spelling, token_counts, url_filter)
 from .base import read, small, text_of
 
 QUERIES = {}
@@ -178,3 +178,9 @@ QUALIFY rank <= 2000""")
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The 2,000 best phrases of each language."""
     return collocations.collocations(read(spark, folder, "documents"))
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words one edit apart, and the form and root of each."""
+    return spelling.variants(read(spark, folder, "documents"))
