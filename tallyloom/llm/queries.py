@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from . import (byte_bpe, collocations, exact_dedup, mixing, pii, quality, secrets, sharding,
-               simhash, spelling, token_counts, url_filter)
+from . import (byte_bpe, collocations, exact_dedup, minhash, mixing, pii, quality, secrets,
+               sharding, simhash, spelling, token_counts, url_filter)
 from .base import read, small, text_of
 
 QUERIES = {}
@@ -143,6 +143,39 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
                                                 stage=staged))
 
 
+@query(sql=r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(
+                 range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS f FROM s GROUP BY g),
+-- of a set's shingles, rarest first, one of the first fifth (and one more) is in any set
+-- at least 80 per cent alike
+r AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS k
+      FROM s JOIN f USING (g) JOIN n USING (doc_id)),
+p AS (SELECT doc_id, g, n FROM r WHERE k <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b USING (g)
+      WHERE a.doc_id < b.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+i AS (SELECT c.a, c.b, count(*) AS common FROM c JOIN s x ON x.doc_id = c.a
+      JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY ALL),
+l AS MATERIALIZED (
+  SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id,
+       coalesce(m, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)""")
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and near-duplicate class of every document."""
+    return minhash.near_copies(read(spark, folder, "documents"))
+
+
 @query(sql=r"""
 WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p
            FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
