@@ -30,8 +30,8 @@ from .base import text_of
 
 ship_by_value(__name__)
 
-SHARD = 1 << 20             # words that one automaton of a task is built from, at least
-RANGE_BYTES = 8 << 20       # text behind one united automaton
+SHARD = 1 << 19             # words that one automaton of a task is built from, at least
+RANGE_BYTES = 4 << 20       # text behind one united automaton
 MOST_RANGES = 4096          # ranges; beyond them each is cut by a hash
 SAMPLE = 16                 # texts looked at for each range to be balanced
 NO_WORD = -1
@@ -301,11 +301,10 @@ def shards(rows: DataFrame, where: Places, depth: int, shard: int = SHARD) -> Da
             mark = ids.get(MARK)
             names = list(ids)
             tokens = np.where(tokens == mark, NO_WORD, tokens) if mark is not None else tokens
-            found = list(where.cut(counted(langs, tokens, starts, names, depth)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g for g, _ in found], pa.int64()),
-                 pa.array([to_automaton(p) for _, p in found], pa.binary())],
-                ["place", "automaton"])
+            for place, paths in where.cut(counted(langs, tokens, starts, names, depth)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place], pa.int64()),
+                     pa.array([to_automaton(paths)], pa.binary())], ["place", "automaton"])
 
         ids, tokens, langs, held = Ids(), [], [], 0
         for batch in batches:
