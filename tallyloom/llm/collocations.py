@@ -201,6 +201,11 @@ def composed(paths: Paths, asked: Sequence[Sequence[bytes]]) -> np.ndarray:
 # ---------------------------------------------------------------- ranges
 
 
+def place_key(path: Sequence[bytes]) -> bytes:
+    """Language and first two words."""
+    return path[0] + b"\x00" + b" ".join(path[1:3])
+
+
 class Places:
     """Which united automaton a path belongs to, by language and first two words."""
 
@@ -211,7 +216,7 @@ class Places:
         return (len(self.bounds) + 1) * self.parts
 
     def of(self, path: Sequence[bytes]) -> int:
-        key = path[0] + b"\x00" + b" ".join(path[1:3])
+        key = place_key(path)
         return bisect_right(self.bounds, key) * self.parts + crc32(key) % self.parts
 
     def of_nodes(self, paths: Paths) -> list[np.ndarray]:
@@ -276,7 +281,7 @@ def places(rows: DataFrame, range_bytes: int) -> Places:
             for lang, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "text")]):
                 words = words_of(text)
                 for at in range(0, len(words), max(1, -(-len(words) // 8))):
-                    keys.append(lang.encode() + b"\x00" + b" ".join(words[at:at + 2]))
+                    keys.append(place_key((b"\x00" + lang.encode(), *words[at:at + 2])))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
 
     share = min(1.0, SAMPLE * ranges / n)

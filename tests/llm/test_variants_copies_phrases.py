@@ -249,6 +249,14 @@ def test_collocations(spark, monkeypatch, given, ranges):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_places_spread_the_paths(spark):
+    docs = spark.createDataFrame([(t, lang or "und") for lang, t in talk() if t],
+                                 "text string, lang string")
+    where = collocations.places(docs, 4000)
+    parts = collocations.shards(docs.repartition(3), where, 3, 500).groupBy("place").count()
+    assert len(where.bounds) > 5 and parts.count() > len(where) // 2
+
+
 def test_collocations_of_nothing(empty):
     assert collocations.collocations(empty).collect() == []
 
