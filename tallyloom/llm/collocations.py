@@ -30,7 +30,7 @@ from .base import text_of
 
 ship_by_value(__name__)
 
-SHARD = 1 << 19             # words that one automaton of a task is built from, at least
+SHARD = 1 << 18             # words that one automaton of a task is built from, at least
 RANGE_BYTES = 4 << 20       # text behind one united automaton
 MOST_RANGES = 4096          # ranges; beyond them each is cut by a hash
 SAMPLE = 16                 # texts looked at for each range to be balanced
@@ -414,9 +414,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        text_of(text).alias("text"))
     where = places(rows, range_bytes)
-    # ranges are unequal and each is one call: tasks of some ranges each
-    parts = staged(shards(rows, where, most_words, shard))
-    grams = staged(union_by_place(parts, least))
+    grams = staged(union_by_place(shards(rows, where, most_words, shard), least))
     found = grams.where("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"))
     words = F.split("phrase", " ")
     cuts = found.where(F.col("a") >= least).select("*", F.explode(
