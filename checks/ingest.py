@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.operators import quality as q
 from tallyloom.session import new_folder
@@ -39,6 +40,45 @@ def scan_csv(spark, sf):
     return back.groupBy(*tables.RAW_COLUMNS).agg(F.count("*").alias("rows"))
 
 
+# every order as a line; by its key it lacks a field, has thousands commas without quotes,
+# goes on over a line end, or leaves a quote open
+DAMAGE = """
+SELECT *, CASE WHEN o_orderkey % 17 = 0 THEN 'too few fields'
+               WHEN o_orderkey % 19 = 0 THEN 'too many fields'
+               WHEN o_orderkey % 23 = 0 THEN 'two lines'
+               WHEN o_orderkey % 29 = 0 THEN 'open quote' END AS kind,
+       CAST(o_orderkey AS {text}) AS k, o_orderpriority AS p FROM orders"""
+DAMAGED_LINE = """CASE kind WHEN 'too few fields' THEN concat(k, ',', p)
+  WHEN 'too many fields' THEN concat(k, ',', p, ',1,234')
+  WHEN 'two lines' THEN concat(k, ',"', p, {line_end}, ' ""x"", y",5')
+  WHEN 'open quote' THEN concat(k, ',"', p, ',7') ELSE concat(k, ',', p, ',9') END"""
+
+
+@query("scan_csv_rejects", f"""
+WITH d AS ({DAMAGE.format(text="VARCHAR")})
+SELECT CASE WHEN kind <> 'two lines' THEN kind END AS reason,
+  CASE WHEN kind IS NULL THEN concat(k, '|', p, '|9')
+       WHEN kind = 'two lines' THEN concat(k, '|', p, chr(10), ' "x", y|5')
+       ELSE {DAMAGED_LINE.format(line_end="chr(10)")} END AS record
+FROM d""")
+def scan_csv_rejects(spark, sf):
+    """A damaged file of orders, read whole: sound rows and rejects."""
+    folder = new_folder(spark, "csv")
+    orders = tables.scan_table(spark, sf, "orders")
+    lines = spark.sql(DAMAGE.format(text="STRING").replace("FROM orders", "FROM {orders}"),
+                      orders=orders).select(F.expr(
+                          DAMAGED_LINE.format(line_end="char(10)")).alias("order_key,priority,n"))
+    # one column whose name is the header; nothing is quoted on the way out
+    lines.write.options(header=True, sep="\u0001", quote="\u0000", escape="\u0000",
+                        lineSep="\n").csv(folder)
+    schema = T.StructType([T.StructField(c, T.StringType())
+                           for c in ("order_key", "priority", "n")])
+    good, rejects = tables.scan_csv_rejects(spark, folder, schema)
+    return good.select(F.lit(None).cast("string").alias("reason"),
+                       F.concat_ws("|", "order_key", "priority", "n").alias("record")).unionByName(
+        rejects.select("reason", "record"))
+
+
 @query("schema_check", """
 SELECT column_name, true AS in_left, column_name <> 'o_orderkey' AS in_right,
   column_name <> 'o_orderkey' AS matches

@@ -17,7 +17,7 @@ from ..functions.columns import DAY_FIRST
 from ..operators import evaluate, events, forecast, quality, reshape
 from ..session import staged
 from ..sources.tables import (csv_header, require_rows, require_same_columns, scan_csv,
-                              union_sources, with_ingest_seq)
+                              union_sources)
 
 
 def read_years(spark: SparkSession, paths: Sequence[str],
@@ -31,8 +31,7 @@ def read_years(spark: SparkSession, paths: Sequence[str],
     first, *others = [csv_header(spark, p) for p in paths]
     for other in others:
         require_same_columns(first, other)
-    parts = [with_ingest_seq(scan_csv(spark, p, headers=headers), k)
-             for k, p in enumerate(paths)]
+    parts = [scan_csv(spark, p, headers=headers, source=k) for k, p in enumerate(paths)]
     return require_rows(staged(union_sources(*parts)), "input")
 
 

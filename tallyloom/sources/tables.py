@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import records
+
 RAW_COLUMNS = ("mode", "purpose", "ownership", "agency", "vehicle",
                "date_raw", "unit", "qty_raw")
 
@@ -24,15 +26,55 @@ RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_C
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str],
              schema: T.StructType = RAW_SCHEMA, headers: Mapping[str, str] | None = None,
-             by_position: bool = False) -> DataFrame:
-    """Read CSV files with a header, plus ``source_file``.
+             by_position: bool = False, most_lines: int = 64,
+             source: int | None = None) -> DataFrame:
+    """Read CSV files with a header, plus ``source_file``; a damaged record is an error.
 
     The schema is given, so there is no inference pass over the files.  Columns are bound
     by name, each path in the order of its own header; ``headers`` translates published
     names into ours.  A path whose names are not those of the schema is an error, and so is
     a file in a folder whose header differs from its neighbours'.  ``by_position`` ignores
     the names.  Texts that stand for a missing value become null.
+
+    A quoted field may go on over line ends, up to ``most_lines`` lines to a record; it
+    comes back with ``\\n`` between them.  Records with too few or too many fields, and
+    quotes that do not close, are damaged; :func:`scan_csv_rejects` returns them instead.
+
+    With ``source``, the rows carry ``ingest_seq`` as :func:`with_ingest_seq` makes it, from
+    file, block and line.
     """
+    read = _read_csv(spark, paths, schema, headers, by_position, most_lines)
+    message = F.concat(F.lit("damaged record ("), F.col("reason"), F.lit(") in "),
+                       F.col("source_file"), F.lit(": "), F.left("record", F.lit(200)))
+    sound = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(
+        F.raise_error(message).cast("boolean"))
+    seq = [] if source is None else [F.struct(
+        F.lit(source).cast("bigint").alias("source"), "file", "block",
+        F.col("line").alias("row")).alias("ingest_seq")]
+    return read.where(sound).select(*schema.names, "source_file", *seq)
+
+
+def scan_csv_rejects(spark: SparkSession, paths: str | Sequence[str],
+                     schema: T.StructType = RAW_SCHEMA,
+                     headers: Mapping[str, str] | None = None, by_position: bool = False,
+                     most_lines: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The sound rows as :func:`scan_csv` gives them, and the damaged records: ``source_file,
+    block, line, reason, record``.
+
+    ``block`` is where the record's part of the file starts, in bytes, and ``line`` its line
+    inside that part, from 0.  The reason is ``too few fields``, ``too many fields`` ``open
+    quote`` or, for columns that are not text, ``unreadable value``.  Rows, rejects, header and blank lines add up to the file.
+    """
+    read = _read_csv(spark, paths, schema, headers, by_position, most_lines)
+    good = read.where("reason IS NULL").select(*schema.names, "source_file")
+    return good, read.where("reason IS NOT NULL").select(
+        "source_file", "block", "line", "reason", "record")
+
+
+def _read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType,
+              headers: Mapping[str, str] | None, by_position: bool, most_lines: int
+              ) -> DataFrame:
+    """Schema columns, ``source_file, block, line, record, reason`` for every record."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     headers = headers or {}
 
@@ -41,16 +83,22 @@ def scan_csv(spark: SparkSession, paths: str | Sequence[str],
         ours = schema.names if by_position else [headers.get(c, c) for c in found]
         if sorted(ours) != sorted(schema.names) or len(found) != len(ours):
             raise ValueError(f"columns of {path}: {found}, wanted: {schema.names}")
-        named = T.StructType([T.StructField(f, schema[c].dataType)
-                              for f, c in zip(found, ours)])
-        read = (spark.read.schema(named)
-                .options(header=True, enforceSchema=by_position, mode="PERMISSIVE", escape='"')
-                .csv(path))
-        place = dict(zip(ours, found))
-        at = lambda c: read[f"`{place[c]}`"]
-        return read.select(
+        lines = spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("block"))
+        read = records.records(lines, len(found), None if by_position else found, most_lines)
+        named = T.StructType([T.StructField(c, schema[c].dataType) for c in ours]
+                             + [T.StructField("_damaged", T.StringType())])
+        parsed = read.withColumn("_row", F.from_csv(
+            "record", named.simpleString()[len("struct<"):-1].replace(":", " "),
+            {"escape": '"', "columnNameOfCorruptRecord": "_damaged", "mode": "PERMISSIVE",
+             "maxCharsPerColumn": "-1"}))
+        at = lambda c: F.col(f"_row.`{c}`")
+        reason = F.coalesce("reason", F.when(F.col("_row._damaged").isNotNull(), F.lit("unreadable value")))
+        return parsed.select(
             *[F.when(~at(c).isin(*MISSING_TEXTS), at(c)).alias(c) for c in schema.names],
-            F.col("_metadata.file_name").alias("source_file"))
+            "file", "source_file", "block", "line", "record", reason.alias("reason"))
 
     return reduce(DataFrame.unionByName, map(one, paths))
 
