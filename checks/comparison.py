@@ -117,6 +117,18 @@ def corr_matrix_raw(spark, sf):
     return i.rounded(k.corr_matrix(i.ship_daily(spark, sf)), 6)
 
 
+@query("corr_matrix_log_parts", ship_sql(f"""
+SELECT a, b, CAST(n AS BIGINT) AS n, {rnd('r', 6)} AS r FROM ({LOG})""", "s_daily"))
+def corr_matrix_log_parts(spark, sf):
+    return i.rounded(k.corr_matrix(i.ship_daily(spark, sf), log=True, part_days=64), 6)
+
+
+@query("corr_matrix_raw_parts", ship_sql(f"""
+SELECT a, b, CAST(n AS BIGINT) AS n, {rnd('r', 6)} AS r FROM ({PLAIN})""", "s_daily"))
+def corr_matrix_raw_parts(spark, sf):
+    return i.rounded(k.corr_matrix(i.ship_daily(spark, sf), part_days=64), 6)
+
+
 @query("corr_pairs", ship_sql(f"SELECT a, b, {rnd('r', 3)} AS r FROM ({LOG})", "s_daily"))
 def corr_pairs(spark, sf):
     return k.corr_pairs(k.corr_matrix(i.ship_daily(spark, sf), log=True))

@@ -79,6 +79,23 @@ def corr_edges(spark, sf):
     return i.rounded(network(spark, sf)[1], 6)
 
 
+# each line and two more that move with it and against it
+TWINS = """SELECT date, line, value FROM d
+  UNION ALL SELECT date, line || '+', 2 * value + day % 7 FROM d
+  UNION ALL SELECT date, line || '-', 2 * (day % 5) - value FROM d"""
+
+
+@query("corr_edges_search", net_sql("", "n_daily").rstrip() + f""",
+d AS (SELECT *, date - DATE '1970-01-01' AS day FROM n_daily), t AS ({TWINS})
+SELECT x.line AS a, y.line AS b, {rnd('corr(x.value, y.value)', 6)} AS r
+FROM t x JOIN t y ON x.date = y.date AND x.line < y.line GROUP BY ALL
+HAVING abs(corr(x.value, y.value)) > 0.9""")
+def corr_edges_search(spark, sf):
+    daily = nation_daily(spark, sf).withColumn("day", F.unix_date("date"))
+    twins = staged(spark.sql(TWINS.replace("FROM d", "FROM {d}"), d=daily))
+    return i.rounded(graph.corr_edges(twins, 0.9, search=True), 6)
+
+
 @query("graph_nodes", net_sql(
     f"SELECT line, {rnd('avg_demand', 4)} AS avg_demand FROM nodes", "nodes"))
 def graph_nodes(spark, sf):

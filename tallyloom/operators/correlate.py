@@ -7,7 +7,7 @@ is one task-sized product of two matrices.  Rows of the daily table are never pa
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,6 +56,33 @@ def _pearson(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray):
     return n, np.clip(r, -1.0, 1.0)
 
 
+MIRROR = {"sa": "sb", "sb": "sa", "saa": "sbb", "sbb": "saa", "ta": "tb", "tb": "ta"}
+SUMS = ("sa", "sb", "saa", "sbb", "sab", "ta", "tb")
+
+
+def _co_moments(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Common days, and sums, squares, products and largest sizes over them, per pair."""
+    a, b, ma, mb = x[left] * m[left], x[right] * m[right], m[left], m[right]
+    shape = len(left), len(right)
+    top = np.abs(x * m).max(axis=1, initial=0.0)
+    return (ma @ mb.T, a @ mb.T, ma @ b.T, (a * a) @ mb.T, ma @ (b * b).T, a @ b.T,
+            np.broadcast_to(top[left][:, None], shape), np.broadcast_to(top[right], shape))
+
+
+def _r_of_sums(sums: DataFrame) -> DataFrame:
+    """``a, b, n, r`` from co-moments of parts of the axis, which add up."""
+    total = sums.groupBy("a", "b").agg(
+        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS[:5]],
+        *[F.max(c).alias(c) for c in SUMS[5:]])
+    n = F.col("n")
+    va, vb = (F.col(s + s[1]) - F.col(s) * F.col(s) / n for s in ("sa", "sb"))
+    # a constant side leaves nothing but rounding noise
+    flat = (va <= n * F.pow(F.col("ta") * 1e-12, 2)) | (vb <= n * F.pow(F.col("tb") * 1e-12, 2))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / n) / (F.sqrt(va) * F.sqrt(vb))
+    return total.select("a", "b", "n", F.when((n >= 2) & ~flat, F.greatest(
+        F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+
+
 def _square_distance(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray):
     """Squared Euclidean distance between rows; a missing cell counts as zero."""
     a, b = x[left], x[right]
@@ -64,31 +91,37 @@ def _square_distance(x: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.n
     return n, np.maximum(square, 0.0)
 
 
-def _paired(measure: Callable, least: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _paired(measure: Callable, least: float | None, fields: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names, x, m = _matrix(group)
         block = group["block"].to_numpy()
         lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        n, r = measure(x, m, left, right)
+        n, *found = measure(x, m, left, right)
         i, j = np.meshgrid(left, right, indexing="ij")
-        a, b, n, r = names[i.ravel()], names[j.ravel()], n.ravel(), r.ravel()
+        a, b, n = names[i.ravel()], names[j.ravel()], n.ravel().astype("int64")
+        found = [f.ravel() for f in found]
+        wanted = np.ones(len(n), bool)
         if lo == hi:                     # each pair of a diagonal block once
-            once = a < b
-            a, b, n, r = a[once], b[once], n[once], r[once]
+            wanted &= a < b
         if least is not None:            # only what is wanted leaves the worker
-            strong = np.abs(r) > least
-            a, b, n, r = a[strong], b[strong], n[strong], r[strong]
+            wanted &= np.abs(found[0]) > least
+        if len(fields) > 1:              # sums over no common point say nothing
+            wanted &= n > 0
         swap = a > b
+        out = {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "n": n}
+        for name, f in zip(fields, found):      # sums of the two sides change places with them
+            other = found[fields.index(MIRROR[name])] if name in MIRROR else f
+            out[name] = np.where(swap, other, f)
         # an undefined measure is NaN here and becomes null on the way back
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b),
-                             "n": n.astype("int64"), "r": r})
+        return pd.DataFrame({c: v[wanted] for c, v in out.items()})
     return run
 
 
 def all_pairs(cells: DataFrame, name: str, axis: Column, value: Column, measure: Callable,
               out: str, block_lines: int = BLOCK_LINES, pairs: DataFrame | None = None,
-              least: float | None = None, axis_part: Column | None = None) -> DataFrame:
+              least: float | None = None, axis_part: Column | None = None,
+              fields: Sequence[str] = ("r",)) -> DataFrame:
     """``measure`` for every unordered pair of names, ``a < b``.
 
     ``pairs(a, b)`` restricts the names to those it has and the result to its pairs;
@@ -117,7 +150,8 @@ def all_pairs(cells: DataFrame, name: str, axis: Column, value: Column, measure:
                     F.least("block", "_other").alias("lo"),
                     F.greatest("block", "_other").alias("hi")))
     found = rows.groupBy("lo", "hi", "part").applyInPandas(
-        _paired(measure, least), "a string, b string, n bigint, r double")
+        _paired(measure, least, fields),
+        "a string, b string, n bigint, " + ", ".join(f"{f} double" for f in fields))
     if pairs is not None:
         found = found.join(pairs, ["a", "b"], "left_semi")
     return found.withColumnRenamed("r", out)
@@ -127,14 +161,36 @@ def _days(day: str = "date") -> Column:
     return F.unix_date(day)
 
 
+def _prepared(daily: DataFrame, log: bool) -> Column:
+    """Raw values count zero days; ``log`` leaves zero days out and takes ``ln(1 + v)``."""
+    return F.log1p(zero_to_null(F.col("value"))) if log else F.col("value")
+
+
+def shifted(daily: DataFrame, log: bool) -> DataFrame:
+    """``line, date, value`` less the mean of the line, so that sums of squares stay small
+    beside the squares they are taken from; a correlation does not change by it."""
+    v = daily.select("line", "date", _prepared(daily, log).alias("value")).where(
+        "value IS NOT NULL")
+    return v.withColumn("value", F.col("value") - F.avg("value").over(
+        Window.partitionBy("line")))
+
+
 def corr_matrix(daily: DataFrame, log: bool = False, pairs: DataFrame | None = None,
-                least: float | None = None) -> DataFrame:
+                least: float | None = None, part_days: int | None = None) -> DataFrame:
     """Pearson correlation of every pair of lines over their common days.
 
     Raw values count zero days; ``log`` leaves zero days out and takes ``ln(1 + v)``.
+
+    With ``part_days``, a list holds no more than so many days of a line: parts of the day
+    axis give co-moments, which add up.  Pairs without a common day are left out then.
     """
-    value = F.log1p(zero_to_null(F.col("value"))) if log else F.col("value")
-    return all_pairs(daily, "line", _days(), value, _pearson, "r", pairs=pairs, least=least)
+    if part_days is None:
+        return all_pairs(daily, "line", _days(), _prepared(daily, log), _pearson, "r",
+                         pairs=pairs, least=least)
+    part = F.floor(_days() / F.lit(part_days)).cast("bigint")
+    found = _r_of_sums(all_pairs(shifted(daily, log), "line", _days(), F.col("value"),
+                                 _co_moments, "r", pairs=pairs, axis_part=part, fields=SUMS))
+    return found if least is None else found.where(F.abs("r") > least)
 
 
 def corr_pairs(matrix: DataFrame) -> DataFrame:

@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 from ..functions.columns import zero_to_null
 from ..session import cut_lineage
 from .correlate import corr_matrix
+from .similar import corr_search
 
 THRESHOLD = 0.6
 SALTS = 64                  # tasks that the lines of one component spread over
 
 
 def corr_edges(daily: DataFrame, threshold: float = THRESHOLD, log: bool = False,
-               pairs: DataFrame | None = None) -> DataFrame:
+               pairs: DataFrame | None = None, search: bool = False) -> DataFrame:
     """Pairs with an absolute correlation above the threshold; no other pair leaves the
-    workers.  ``pairs`` restricts the search to candidates."""
+    workers.  ``pairs`` restricts the search to candidates.
+
+    With ``search``, sketches propose the pairs instead of all being computed, for more
+    lines than have a matrix; see :func:`~.similar.candidate_pairs` for what may be missed.
+    """
+    if search:
+        return corr_search(daily, threshold, log).select("a", "b", "r")
     return corr_matrix(daily, log=log, pairs=pairs, least=threshold).select("a", "b", "r")
 
 
