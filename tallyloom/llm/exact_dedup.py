@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import new_folder, staged
 from .base import lower_ascii, small, text_of, unused
 
+FILTER_BITS = 1 << 23       # 1 MB of bits that keep single texts out of the check
 STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -83,6 +84,26 @@ def fold(spark: SparkSession, folder: str, schema, checkpoint: str,
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def may_hit(digest: Column, hits: DataFrame) -> Column:
+    """False for most digests that are not among ``hits``, never for one that is.
+
+    A bitmap of fixed size, however many hits there are: digests that fall on no set bit
+    stay out of the join, and their texts are not moved.  With more hits than bits it lets
+    all pass, and the join decides alone.
+    """
+    def bit(d: Column) -> Column:
+        return F.pmod(F.xxhash64(d), F.lit(FILTER_BITS)) + 1
+
+    maps = hits.groupBy(F.bitmap_bucket_number(bit(F.col("digest"))).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit(F.col("digest")))).alias("bits"))
+    every = maps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))).scalar()
+    found = F.try_element_at(every, F.bitmap_bucket_number(bit(digest)))
+    at = F.bitmap_bit_position(bit(digest))
+    byte = F.conv(F.hex(F.substring(found, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.coalesce(F.getbit(byte.cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1,
+                      F.lit(False))
+
+
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
            digest: Callable[[Column], Column] = digest,
            files_per_batch: int | None = None) -> DataFrame:
@@ -107,7 +128,9 @@ def _groups(rows: DataFrame, norm: str, place: str, key: str,
     state = fold(spark, folder, prints.schema, new_folder(spark, "state"), files_per_batch)
 
     # full bytes on hits: copies of a digest within a task are one row of the shuffle
+    hits = state.where("copies > 1").select("digest")
     texts = rows.select(digest(F.col(norm)).alias("digest"), F.col(norm).alias("norm"))
+    texts = texts.where(may_hit(F.col("digest"), hits)).join(hits, "digest", "left_semi")
     ends = texts.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
     mixed = small(ends.where("lo <> hi").select("digest"))
     if mixed.isEmpty():

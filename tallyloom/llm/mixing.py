@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..operators.rows import attach_row
 from ..session import ship_by_value, staged
-from .base import WORD, small, text_of, unused
+from .base import WORD, text_of, unused
 
 ship_by_value(__name__)
 
@@ -91,18 +91,21 @@ def settle(p: float, size: float, q: float, other: float, draw: float
     return snap(p), snap(q)
 
 
-def _meet(rows: DataFrame, n: dict[str, str]) -> DataFrame:
+def _meet(rows: DataFrame, n: dict[str, str], source: str) -> DataFrame:
     """Meetings within blocks, larger documents first, so that the one left is small.  At
     most one row of a block stays open."""
     block, part = n["block"], n["part"]
-    ready = rows.repartition(block).sortWithinPartitions(block, F.desc(n["size"]), n["order"])
+    # blocks are numbered within their source
+    ready = rows.repartition(block, source).sortWithinPartitions(
+        block, source, F.desc(n["size"]), n["order"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None             # the open row of the last block, which may go on
         for batch in batches:
             table = pa.Table.from_batches([batch] if held is None else [held, batch])
-            blocks, sizes, draws, parts = [table.column(n[c]).to_pylist()
-                                           for c in ("block", "size", "draw", "part")]
+            numbers, sizes, draws, parts = [table.column(n[c]).to_pylist()
+                                            for c in ("block", "size", "draw", "part")]
+            blocks = list(zip(numbers, table.column(source).to_pylist()))
             open_ = here = None
             for k, b in enumerate(blocks):
                 if b != here:
@@ -135,32 +138,31 @@ def _placed(rows: DataFrame, n: dict[str, str], source: str, level: int, seed: i
             block: int) -> DataFrame:
     """Block and draw of each open row at one level of the tree.
 
-    A source with no more open rows than a block has is one block.  Otherwise each of its
-    size classes is cut by hash into as many blocks as it needs.  The table of counts has
-    a row per source and size class.
+    The open rows of a source stand in the order of their size classes, by hash inside a
+    class, and are cut into blocks of about ``block``: neighbouring classes share blocks, so
+    a source has fewer blocks than open rows, and every level settles some.  The table of
+    counts has a row per source and size class.
     """
     part = F.col(n["part"])
     is_open = (part > 0) & (part < 1)
     kind = size_class(F.col(n["size"]))
     counts = rows.where(is_open).groupBy(F.col(source).alias("s"), kind.alias("c")).agg(
         F.count("*").alias("rows"))
-    whole = F.sum("rows").over(Window.partitionBy("s"))
-    parts = F.when(whole <= block, F.when(F.col("c") == F.max("c").over(
-        Window.partitionBy("s")), 1).otherwise(0)).otherwise(F.ceil(F.col("rows") / block))
-    counts = counts.withColumn("single", whole <= block).withColumn("parts", parts)
-    upto = Window.partitionBy(F.lit(0)).orderBy("s", F.desc("c")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    last = F.sum("parts").over(upto)
-    # blocks of a single-block source all have the number of its first class
-    counts = small(counts.withColumn("last", last).select(F.struct(
-        "s", "c", F.greatest("parts", F.lit(1)).alias("parts"), "last").alias(n["rate"])))
+    larger = F.sum("rows").over(Window.partitionBy("s").orderBy(F.desc("c")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
+    counts = staged(counts.select(F.struct(
+        "s", "c", "rows", larger.alias("larger"),
+        F.sum("rows").over(Window.partitionBy("s")).alias("all")).alias(n["rate"])))
     side = F.col(n["rate"])
     joined = rows.join(counts, rows[source].eqNullSafe(side["s"]) & (kind == side["c"])
                        & is_open, "left")
-    hashed = F.pmod(F.xxhash64(n["order"], F.lit(level), F.lit("block")), side["parts"])
+    # equal counts per block; a hash leaves some blocks larger, none beyond all rows
+    place = side["larger"] + F.pmod(
+        F.xxhash64(n["order"], F.lit(level), F.lit("block")), side["rows"])
+    number = F.floor(place / F.ceil(side["all"] / F.ceil(side["all"] / F.lit(block))))
     draw = F.shiftrightunsigned(F.xxhash64(n["order"], F.lit(level), F.lit(seed)), 11)
     return (joined.withColumn(n["block"], F.coalesce(
-                (side["last"] - hashed).cast("bigint"),
+                number.cast("bigint"),
                 # rows that are settled already go anywhere
                 -1 - F.pmod(F.col(n["order"]), F.lit(1 << 20))))
             .withColumn(n["draw"], draw * F.lit(2.0 ** -53)).drop(n["rate"]))
@@ -177,11 +179,13 @@ def mix(docs: DataFrame, targets: DataFrame, *, source: str = "source", size: st
     drawn for.  Columns of any name are kept, but for ``copies``, which is replaced; an
     empty table stays empty.
     """
+    if block < 2:
+        raise ValueError("a block has two rows at least")
     own = [c for c in docs.columns if c != copies]
     n: dict[str, str] = {}
     for k in ("whole", "part", "size", "draw", "order", "block", "rate"):
         n[k] = unused([*own, copies, *n.values()], f"_{k}")
-    side = small(targets.select(F.struct(
+    side = staged(targets.select(F.struct(
         F.col("source").alias("s"), F.try_divide("target", "source_size").alias("r")
     ).alias(n["rate"])))
     rate = F.coalesce(F.col(n["rate"])["r"], F.lit(0.0))
@@ -200,7 +204,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, source: str = "source", size: st
     part = F.col(n["part"])
     done, level = [], 0
     while True:
-        rows = staged(_meet(_placed(rows, n, source, level, seed, block), n))
+        rows = staged(_meet(_placed(rows, n, source, level, seed, block), n, source))
         done.append(rows.where((part <= 0) | (part >= 1)))
         rows = rows.where((part > 0) & (part < 1)).drop(n["block"], n["draw"])
         left = rows.groupBy(source).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
@@ -223,7 +227,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *,
     size = unused(docs.columns, "_words")
     copies = unused([*docs.columns, size], "_copies")
     sized = word_counts(docs, text, size)
-    targets = small(target_sizes(repeating_weights(sized, weights, source=source, size=size)))
+    targets = staged(target_sizes(repeating_weights(sized, weights, source=source, size=size)))
     taken = mix(sized, targets, source=source, size=size, seed=seed, copies=copies)
     times = F.array_repeat(F.lit(0), F.col(copies).cast("int"))
     return taken.withColumn(size, F.explode(times)).select(*docs.columns)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rows import attach_row
-from .base import SPACE, WORD, let, small, text_of, unused
+from ..session import staged
+from .base import SPACE, WORD, let, text_of, unused
 
 MIN_WORDS = 50              # base rule: shorter documents fail
 MAX_REPEAT_PCT = 50         # base rule: a larger share of repeated words fails
@@ -99,20 +100,25 @@ def measured(docs: DataFrame, text: str = "text", out: str = "measures") -> Data
 def host_rates(measured: DataFrame, host: str = "source", out: str = "measures") -> DataFrame:
     """Per host: documents, failures, and the failure rate shrunk by a beta prior.
 
-    The prior has the mean and, by moments, the spread of the hosts' rates (weighted by
-    documents); hosts that all agree give it its greatest weight.  One shuffled row per
-    host and task.
+    The prior is fitted by the moments of the beta-binomial law.  Rates of hosts with ``n_i``
+    of ``N`` documents, weighted by these, spread by ``mean (1 - mean)`` times ``k / N + rho
+    (1 - k / N)`` for ``k`` hosts: the first part is chance alone, the second the hosts' own
+    difference.  The prior weighs ``1 / rho - 1`` documents.  Where chance explains the
+    spread, or no host has two documents, that is its greatest weight.  One shuffled row
+    per host and task.
     """
     hosts = measured.groupBy(F.col(host).alias("host")).agg(
         F.count("*").alias("n"), F.count_if(any_failed(F.col(out))).alias("failed"))
     share = F.col("failed") / F.col("n")
     total = hosts.agg(F.sum("n").alias("all_n"), F.sum("failed").alias("all_failed"),
+                      F.count("*").alias("hosts"),
                       F.sum(F.col("failed") * share).alias("squares"))
     mean = F.col("all_failed") / F.col("all_n")
-    spread = F.col("squares") / F.col("all_n") - mean * mean
+    chance = F.col("hosts") / F.col("all_n")
+    spread = F.try_divide(F.col("squares") / F.col("all_n") - mean * mean, mean * (1 - mean))
+    rho = F.try_divide(spread - chance, 1 - chance)
     low, high = map(F.lit, PRIOR_STRENGTH)
-    strength = F.when(spread > 1e-12, F.least(F.greatest(
-        mean * (1 - mean) / spread - 1, low), high)).otherwise(high)
+    strength = F.when(rho > 1e-9, F.least(F.greatest(1 / rho - 1, low), high)).otherwise(high)
     prior = total.select(mean.alias("mean"), strength.alias("strength"))
     rate = ((F.col("failed") + F.col("mean") * F.col("strength"))
             / (F.col("n") + F.col("strength")))
@@ -142,13 +148,13 @@ def keep_good(docs: DataFrame, *, host: str = "source", text: str = "text",
               limit: float = HOST_RATE) -> DataFrame:
     """The documents that pass, with their own columns.
 
-    Two map-only passes over the texts and one row per host between them, so no text is
-    shuffled.  A null text is an empty one, which fails; repeated rows are judged alike;
+    Texts are measured once, in a pass that writes them with their measures; a second pass
+    over that table, with one row per host between them, judges.  No text is shuffled.  A null text is an empty one, which fails; repeated rows are judged alike;
     an empty table stays empty; further columns, whatever their names, are kept.
     """
     names = [unused(docs.columns, n) for n in ("_measures", "_failed", "_kept")]
-    m = measured(docs, text, names[0])
-    rejected = small(rejected_hosts(host_rates(m, host, names[0]), limit))
+    m = staged(measured(docs, text, names[0]))
+    rejected = staged(rejected_hosts(host_rates(m, host, names[0]), limit))
     verdicts = judged(m, rejected, host, *names)
     return verdicts.where(F.col(names[2])).select(*docs.columns)
 
@@ -160,6 +166,6 @@ def report(docs: DataFrame, *, key: str = "doc_id", host: str = "source", text:
     m = measured(docs.select(F.col(key).alias("_key"), F.col(host).alias("_source"),
                              F.col(text).alias("_text")), "_text").drop("_text")
     m = stage(m) if stage else m
-    rejected = small(rejected_hosts(host_rates(m, "_source"), limit))
+    rejected = staged(rejected_hosts(host_rates(m, "_source"), limit))
     return judged(m, rejected, "_source").select(
         F.col("_key").alias(key), "measures.*", "base_failed", "kept").drop("n_lines")

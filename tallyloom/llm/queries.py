@@ -98,10 +98,14 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              OR word_chars > 12 * n_words AS soft FROM m),
 h AS (SELECT source AS host, count(*) AS n, count(*) FILTER (soft) AS failed
       FROM f GROUP BY source),
-p AS (SELECT sum(failed) / sum(n) AS mean, sum(failed * (failed / n)) / sum(n) AS sq FROM h),
-q AS (SELECT mean, CASE WHEN sq - mean * mean > 1e-12
-             THEN least(greatest(mean * (1 - mean) / (sq - mean * mean) - 1, 1.0), 1000.0)
-             ELSE 1000.0 END AS strength FROM p),
+-- beta-binomial moments: the variance of a rate over n_i documents is
+-- mean (1 - mean) (1 + (n_i - 1) rho) / n_i, and alpha + beta = 1 / rho - 1
+mu AS (SELECT sum(failed) / sum(n) AS mean, sum(n) AS docs FROM h),
+v AS (SELECT mean, sum(n * pow(failed / n - mean, 2)) / docs / nullif(mean * (1 - mean), 0) AS s,
+             count(*) / docs AS e FROM h, mu GROUP BY mean, docs),
+q AS (SELECT mean, CASE WHEN (s - e) / nullif(1 - e, 0) > 1e-9
+             THEN least(greatest(nullif(1 - e, 0) / (s - e) - 1, 1.0), 1000.0)
+             ELSE 1000.0 END AS strength FROM v),
 bad AS (SELECT host FROM h, q WHERE (failed + mean * strength) / (n + strength) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (soft AND EXISTS (

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import attach_row
 from ..session import staged
-from .base import lower_ascii, small
+from .base import lower_ascii
 
 # The rules of the list, verdict and place.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -143,7 +143,7 @@ def judge(pages: DataFrame, labels: DataFrame, *, key: str = "page_id", url: str
     said = labels.groupBy(F.col(label_key).alias("label_key")).agg(F.max(
         ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     known = rows.join(said, F.col("key") == F.col("label_key"), "left")
-    bad = small(bad_templates(known.select("host", "segments", "bad"), block))
+    bad = staged(bad_templates(known.select("host", "segments", "bad"), block))
     side = bad.select(F.struct("host", "segments").alias("b"))
     judged = rows.join(side, (rows.host == F.col("b.host"))
                        & (rows.segments == F.col("b.segments")), "left")
