@@ -1,9 +1,11 @@
 """Tokenizers, personal data, secrets and quality rules against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -229,20 +231,112 @@ def test_secret_base_kinds(spark, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+SYLLABLES = ["con", "fig", "ura", "tion", "net", "work", "in", "ter", "nal", "path", "doc",
+             "ment", "fold", "er", "file", "get", "the", "cur", "rent", "user", "ac", "count"]
+PLAIN = ["configuration_of_the_internal-network-2024", "abcdefghijklmnopqrstuvwxyz",
+         "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "path/to/some/document/folder/file",
+         "GetTheCurrentUserAccountName", "2024-01-01-2024-12-31-2025", "1234567890" * 3]
+RANDOM = {"base32": (string.ascii_uppercase + "234567", 32), "lower": (string.ascii_lowercase, 32),
+          "base36": (string.ascii_lowercase + string.digits, 32),
+          "base62": (string.ascii_letters + string.digits, 40),
+          "base64": (string.ascii_letters + string.digits + "+/", 40)}
+
+
+def made_of_words(rng, n):
+    return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4)))
+                    for _ in range(n))
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     rng = random.Random(5)
-    letters = string.ascii_letters + string.digits + "+/"
-    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(40)]
-    plain = ["configuration_of_the_internal-network-2024", "abcdefghijklmnopqrstuvwxyz",
-             "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "path/to/some/document/folder/file",
-             "GetTheCurrentUserAccountName", "2024-01-01-2024-12-31-2025", "1234567890" * 3]
-    rows = [(k, f"here it is {s} and more") for k, s in enumerate(keys + plain)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = {r["doc_id"]: r["random"] for r in secrets.find_secrets(docs).collect()}
-    hits = [k for k in range(len(keys)) if found[k]]
-    assert len(hits) >= 0.9 * len(keys)
-    assert all(tuple(found[k][0]) == (11, 51) for k in hits)
-    assert not any(found[k] for k in range(len(keys), len(rows)))
+    rows = [(name, f"here it is {''.join(rng.choice(letters) for _ in range(n))} and more")
+            for name, (letters, n) in RANDOM.items() for _ in range(60)]
+    rows += [(s, f"here it is {s} and more") for s in PLAIN]
+    rows += [(None, made_of_words(rng, 100)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, *r, "x", 1) for k, r in enumerate(rows)],
+                                 "doc_id long, kind string, text string, tried string, hex int")
+    found = {r["doc_id"]: r["random"] for r in secrets.find_secrets(docs.repartition(4)).collect()}
+    for name, (_, n) in RANDOM.items():
+        own = [k for k, r in enumerate(rows) if r[0] == name]
+        hits = [k for k in own if found[k]]
+        assert len(hits) >= 0.9 * len(own), name
+        assert all(tuple(found[k][0]) == (11, 11 + n) for k in hits)
+    assert not any(found[k] for k, r in enumerate(rows) if r[0] is None or r[0] in PLAIN)
+
+
+def battery_by_hand(s, model):
+    """Mean deviate of the three tests of one string from structure, and its encoding."""
+    body = s.rstrip("=")
+    k = next(i for i, (p, _) in enumerate(secrets.ENCODINGS.values()) if re.fullmatch(p, body))
+    letters = list(secrets.ENCODINGS.values())[k][1]
+    n, s2, s3, t = len(body), model.squares[k], model.cubes[k], model.turns[k]
+    equal = sum(body[i] == body[j] for i in range(n) for j in range(i))
+    every = n * (n - 1) / 2
+    chi = (every * s2 - equal) / (every * (s2 - s2**2)
+                                  + 2 * every * (n - 2) * max(0, s3 - s2**2)) ** 0.5
+    high = [letters.index(c) > (len(letters) - 1) / 2 for c in body]
+    turned = sum(a != b for a, b in zip(high, high[1:]))
+    more = (turned - (n - 1) * t) / ((n - 1) * t * (1 - t)) ** 0.5
+    at = [secrets.ALL.index(c) for c in body]
+    score = sum(model.score[a, b] for a, b in zip(at, at[1:])) / (n - 1)
+    serial = (model.mean - score) / (model.spread / (n - 1) + model.between) ** 0.5
+    return (chi + (more if t < 0.5 else -more) + serial) / 3
+
+
+def test_battery_and_control_by_hand(spark):
+    rng = random.Random(7)
+    words = [made_of_words(rng, 60) for _ in range(80)]
+    strings = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90)))
+               for a, _ in RANDOM.values() for _ in range(25)]
+    strings += ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(8, 20)))
+                for _ in range(100)] + PLAIN + ["x" * 6000, "Ab3" * 4000 + "=="]
+    texts = words + [f"<{s}>" for s in strings]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.structure(docs)
+
+    # the model: pairs of characters inside short strings
+    tokens = [t for x in texts for t in re.findall(secrets.TOKEN, x)]
+    pairs = [secrets.ALL.index(a) * 66 + secrets.ALL.index(b) for t in tokens
+             for a, b in zip(t, t[1:])]
+    flat = model.score.ravel()
+    assert model.mean == pytest.approx(sum(flat[p] for p in pairs) / len(pairs))
+
+    scanned = secrets.scan(docs, model=model)
+    tried = {r["doc_id"] - len(words): r["tried"][0] for r in scanned.collect() if r["tried"]}
+    assert set(tried) >= {k for k, s in enumerate(strings) if not re.search("[0-9a-f]{32}", s)}
+    for k, c in tried.items():
+        z = battery_by_hand(strings[k], model)
+        assert math.log(c["test"]["p"]) == pytest.approx(
+            math.log(max(1e-300, 0.5 * math.erfc(z / 2**0.5) or 1e-300)), rel=0.02, abs=0.01)
+
+    # the control: per class of length, the lowest bin whose expected share of false ones is small
+    cells = Counter((c["class"], min(150, math.floor(-10 * math.log10(c["test"]["p"]))))
+                    for c in tried.values() if c["test"]["chi"] < 3.3
+                    and abs(c["test"]["runs"]) < 3.3 and abs(c["test"]["serial"]) < 3.3)
+    want = {}
+    for kind, low in sorted(cells, reverse=True):
+        whole = sum(n for (c, _), n in cells.items() if c == kind)
+        above = sum(n for (c, b), n in cells.items() if c == kind and b >= low)
+        if whole * 10 ** (-low / 10) / above <= secrets.RATE:
+            want[kind] = low
+    got = {r["class"]: r["least"] for r in secrets.thresholds(scanned).collect()}
+    assert got == want and got
+
+
+def test_secret_edges(spark):
+    """Null and repeated keys, null texts, clashing columns; few texts show no structure."""
+    key = "Zk3xQ9vLw2RtYb7NcPf5Hd8MsJg4TuVe6A1B"
+    rows = [(None, f"a {key} b"), (1, f"a {key} b"), (1, f"a {key} b"), (2, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows],
+                                 "doc_id long, text string, assign string, random int")
+    got = secrets.digests(secrets.find_secrets(docs)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 1, 2]
+    assert all(r["spans"] == "" for r in got)
+    rng = random.Random(8)
+    model = secrets.structure(spark.createDataFrame(
+        [(made_of_words(rng, 300),) for _ in range(50)], "text string"))
+    got = secrets.digests(secrets.find_secrets(docs, model=model)).collect()
+    assert sorted(r["spans"] for r in got) == ["", ""] + [f"random:2:{2 + len(key)}"] * 3
 
 
 # ---------------------------------------------------------------- quality
