@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 
@@ -37,11 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Where the session names none, as in tests, a folder under the warehouse takes its
-    place: the warehouse is shared wherever tables are.
+    place: the warehouse is shared wherever tables are.  A warehouse in the file system of
+    one machine is not, so on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        if not one_machine and re.match(r"file:|/", warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; "
+                             f"{warehouse} belongs to one machine")
         configured = f"{warehouse}/_stages"
     return configured.rstrip("/")
 
