@@ -108,7 +108,7 @@ EVENTS = [
 ]
 EARLY_EVENT = ("ปีใหม่ 2025", "2024-12-31", "2025-01-02")
 
-DROP, SPIKE = "Drop", "Spike"
+FELL, ROSE = "Drop", "Spike"
 # --- end of fixed values -------------------------------------------------------------
 
 HOLIDAY_COLUMNS = ("holiday string, ds date, lower_window int, upper_window int, "

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dimensions import DROP, SPIKE, UNKNOWN_EVENT
+from ..dimensions import FELL, ROSE, UNKNOWN_EVENT
 from ..functions.columns import (day_name, is_weekend, percent, percent_change, whole_number,
                                  zero_to_null)
 from .compare import box_stats, by_date, by_line, full_window
@@ -155,7 +155,7 @@ def _impact(found: DataFrame) -> DataFrame:
     change = percent_change(F.col("event_avg"), F.col("baseline_avg"))
     return found.where((F.col("baseline_avg") > 0) & F.col("event_avg").isNotNull()).withColumns({
         "impact_pct": F.round(change, 1),
-        "direction": F.when(change < 0, DROP).otherwise(SPIKE),
+        "direction": F.when(change < 0, FELL).otherwise(ROSE),
         "baseline_avg": whole_number(F.col("baseline_avg")),
         "event_avg": whole_number(F.col("event_avg"))})
 
