@@ -383,30 +383,21 @@ def test_host_verdicts(spark):
     assert rates["good"]["rate"] > 1 / 61          # drawn towards the corpus
 
 
-def test_poisson_tail(spark):
-    from math import exp, factorial
-    df = spark.range(1)
-    for n, mean in ((0, 2.4), (1, 2.4), (5, 2.4), (12, 4.8)):
-        got = df.select(secrets.poisson_tail(F.lit(n), F.lit(mean)).alias("p")).first()["p"]
-        assert got == pytest.approx(1 - sum(exp(-mean) * mean ** k / factorial(k)
-                                            for k in range(n)), abs=1e-12)
+def test_normal_tail(spark):
+    """Within 0.3 per cent of the true tail, far out as well."""
+    at = [-5.0, -1.0, 0.0, 0.5, 1.0, 3.0, 8.0, 20.0, 37.0]
+    df = spark.createDataFrame([(z,) for z in at], "z double")
+    for r in df.select("z", secrets.normal_tail(F.col("z")).alias("p")).collect():
+        assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / 2**0.5), rel=4e-3)
+    assert df.select(secrets.normal_tail(F.lit(1e6)).alias("p")).first()["p"] > 0
 
 
 def test_long_random_strings_are_found(spark):
     rng = random.Random(8)
     letters = string.ascii_letters + string.digits
     keys = ["".join(rng.choice(letters) for _ in range(10_000)) for _ in range(6)]
-    docs = spark.createDataFrame([(k, f"it is {s} .") for k, s in enumerate(keys)],
-                                 "doc_id long, text string")
+    texts = [f"it is {s} ." for s in keys] + [made_of_words(rng, 100) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["random"] for r in secrets.find_secrets(docs).collect()}
-    assert sum(bool(f) for f in found.values()) >= 5
+    assert sum(bool(f) for f in found.values()) >= 5 and not any(found[k] for k in range(6, 106))
     assert all(tuple(f[0]) == (6, 10_006) for f in found.values() if f)
-
-
-def test_poisson_tail_of_large_means(spark):
-    from math import exp, lgamma, log
-    df = spark.range(1)
-    for n, mean in ((1300, 1200.0), (1200, 1200.0), (1100, 1200.0), (60, 30.0)):
-        got = df.select(secrets.poisson_tail(F.lit(n), F.lit(mean)).alias("p")).first()["p"]
-        want = sum(exp(-mean + k * log(mean) - lgamma(k + 1)) for k in range(n, n + 2000))
-        assert got == pytest.approx(want, rel=1e-3, abs=1e-12)
