@@ -149,8 +149,9 @@ def keep_good(docs: DataFrame, *, host: str = "source", text: str = "text",
     """The documents that pass, with their own columns.
 
     Texts are measured once, in a pass that writes them with their measures; a second pass
-    over that table, with one row per host between them, judges.  No text is shuffled.  A null text is an empty one, which fails; repeated rows are judged alike;
-    an empty table stays empty; further columns, whatever their names, are kept.
+    over that table, with one row per host between them, judges.  No text is shuffled.  A
+    null text is an empty one, which fails; repeated rows are judged alike; an empty table
+    stays empty; further columns, whatever their names, are kept.
     """
     names = [unused(docs.columns, n) for n in ("_measures", "_failed", "_kept")]
     m = staged(measured(docs, text, names[0]))
