@@ -11,13 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import DAY_FIRST, all_of, parse_day, parse_number, percent
 from ..sources.tables import RAW_COLUMNS
 from .quantiles import exact_quantiles
 from .rows import attach_row
+from .segments import filled_cells
 
 # ---------------------------------------------------------------- profiles
 
@@ -228,94 +228,33 @@ def dedup_full_row(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- interpolation by row
 
 
-def _neighbours(items: DataFrame, levels: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Nearest known value before and after each item, with the rows in between.
-
-    An item stands for ``n`` consecutive rows: ``lead`` unknown ones, then a first known
-    value ``fv`` ... a last known value ``lv``, then ``tail`` unknown ones.  Windows span
-    the innermost of ``levels`` only; what lies outside comes from the same question asked
-    of the level above, so no window grows with the size of a series.
-    """
-    here = Window.partitionBy(*levels)
-    ahead = here.orderBy(*[F.asc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    # the rest of the group, read from its end: a shrinking frame would be quadratic
-    back = here.orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.col("fv").isNotNull()
-
-    items = items.withColumns({
-        "_start": F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("bigint"),
-        "_size": F.sum("n").over(here)})
-    end = F.col("_start") + F.col("n")
-    first_known = F.when(known, F.col("_start") + F.col("lead"))
-    past_known = F.when(known, end - F.col("tail"))
-    scanned = items.withColumns({
-        "prev_value": F.last("lv", ignorenulls=True).over(ahead),
-        # rows strictly between the known neighbour and this item
-        "prev_gap": F.col("_start") - F.last(past_known, ignorenulls=True).over(ahead)})
-    scanned = scanned.withColumns({
-        "next_value": F.last("fv", ignorenulls=True).over(back),
-        "next_gap": F.last(first_known, ignorenulls=True).over(back) - end})
-
-    if len(levels) > 1:
-        outer, inner = list(levels[:-1]), levels[-1]
-        # the same filter as the join below implies, so that its exchange can be reused
-        groups = items.where(all_of([F.col(c).isNotNull() for c in levels])).groupBy(
-            *levels).agg(
-            F.min_by("fv", first_known).alias("fv"), F.max_by("lv", past_known).alias("lv"),
-            F.min(first_known).alias("lead"),
-            (F.max("_size") - F.max(past_known)).alias("tail"), F.max("_size").alias("n"))
-        outside = _neighbours(groups, outer, [inner]).select(
-            *levels, *[F.col(c).alias(f"_o_{c}") for c in
-                       ("prev_value", "prev_gap", "next_value", "next_gap")])
-        scanned = scanned.join(outside, list(levels), "left").withColumns({
-            "prev_gap": F.coalesce("prev_gap", F.col("_o_prev_gap") + F.col("_start")),
-            "prev_value": F.coalesce("prev_value", "_o_prev_value"),
-            "next_gap": F.coalesce("next_gap",
-                                   F.col("_o_next_gap") + F.col("_size") - end),
-            "next_value": F.coalesce("next_value", "_o_next_value")})
-        scanned = scanned.drop(*[c for c in scanned.columns if c.startswith("_o_")])
-    return scanned.drop("_start", "_size")
-
-
-def _block_of(df: DataFrame, seq: str, block_rows: int) -> Column:
-    """Runs of rows that follow each other: the number without its last part.  A number may
-    be a struct, of which the last field counts rows."""
-    def whole(n: Column) -> Column:
-        return n - F.pmod(n, F.lit(block_rows))
-
-    kind = df.schema[seq].dataType
-    if not isinstance(kind, T.StructType):
-        return whole(F.col(seq))
-    *outer, last = kind.names
-    return F.struct(*[F.col(seq)[c].alias(c) for c in outer],
-                    whole(F.col(seq)[last]).alias(last))
-
-
 def interpolate_rows(df: DataFrame, value: str = "qty", series: str = "vehicle",
                      day: str = "date", seq: str = "ingest_seq", limit: int = 3,
                      block_rows: int = 1 << 20) -> DataFrame:
     """Linear fill of null values by row position within each series.
 
     Up to ``limit`` cells are filled after a known value; a longer gap keeps the rest
-    null, a trailing gap repeats the last value, a leading gap stays null.
-
-    A series may hold a large part of the table, so it is not one window: rows are scanned
-    per day and block of the sequence, and block and day summaries carry the neighbours
-    across the borders.
+    null, a trailing gap repeats the last value, a leading gap stays null.  Rows of no
+    series lose their value.  ``seq`` tells rows of a series and day apart; empty rows that
+    agree in all three get the same value.
+
+    A series may hold a large part of the table, so it is not one window: the four columns
+    are put in order by ranges and scanned in segments of at most ``block_rows`` rows, and
+    only the values found for empty cells are joined to the rows.  The scan runs when the
+    frame is made; its cells lie in the shared folder.
     """
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    items = (df.withColumn("_block", _block_of(df, seq, block_rows))
-             .withColumns({"n": one, "fv": F.col(value), "lv": F.col(value),
-                           "lead": none, "tail": none}))
-    items = _neighbours(items, [series, day, "_block"], [seq])
-    step = F.col("prev_gap") + 1
-    between = F.col("prev_value") + (
-        (F.coalesce("next_value", "prev_value") - F.col("prev_value"))
-        * step / (step + F.coalesce(F.col("next_gap"), F.lit(0)) + 1))
-    # rows of no series belong to no group, and their value is lost
-    filled = F.when(F.col(series).isNotNull(),
-                    F.coalesce(F.col(value), F.when(step <= limit, between)))
-    return items.withColumn(value, filled).select(*df.columns)
+    narrow = df.select(F.col(series).alias("series"), F.col(day).alias("day"),
+                       F.col(seq).alias("seq"), F.col(value).cast("double").alias("value"))
+    cells = (filled_cells(narrow, limit, block_rows).groupBy("series", "day", "seq")
+             .agg(F.min("filled").alias("_filled")))
+    own = df.alias("own")
+    match = all_of([F.col(f"own.`{mine}`").eqNullSafe(F.col(f"cells.{other}")) for mine, other in
+                    ((series, "series"), (day, "day"), (seq, "seq"))])
+    match = match & F.col(f"own.`{value}`").isNull()
+    filled = F.when(F.col(f"own.`{series}`").isNotNull(),
+                    F.coalesce(F.col(f"own.`{value}`"), F.col("cells._filled")))
+    return own.join(cells.alias("cells"), match, "left").select(
+        *[filled.alias(c) if c == value else F.col(f"own.`{c}`") for c in df.columns])
 
 
 # ---------------------------------------------------------------- distributions
