@@ -35,6 +35,24 @@ EVAL = {
     "cv": """
   SELECT line, cutoff, ds, CAST(ds - cutoff AS INTEGER) AS horizon_day, actual AS y, yhat,
     yhat_lower, yhat_upper FROM c_fc WHERE ds > cutoff""",
+    "scores": """
+  SELECT line, day AS horizon_day, abs(y - yhat) / yhat AS score FROM cv
+  JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS day) ON abs(horizon_day - day) <= 3
+  WHERE yhat > 0 AND y IS NOT NULL""",
+    "calibration": """
+  SELECT line, horizon_day, n, max(score) FILTER (
+      k = least(CAST(ceil((n + 1) * CAST(0.8 AS DOUBLE)) AS BIGINT), n)) AS margin
+  FROM (SELECT *, row_number() OVER (PARTITION BY line, horizon_day ORDER BY score) AS k,
+          CAST(count(*) OVER (PARTITION BY line, horizon_day) AS BIGINT) AS n FROM scores)
+  GROUP BY line, horizon_day, n""",
+    "recalibrated": """
+  SELECT f.line, f.ds, f.yhat, f.is_future,
+    coalesce(CASE WHEN f.is_future THEN greatest(f.yhat * (1 - c.margin), 0.0) END,
+             f.yhat_lower) AS yhat_lower,
+    coalesce(CASE WHEN f.is_future THEN f.yhat * (1 + c.margin) END, f.yhat_upper) AS yhat_upper
+  FROM l_fc f JOIN (SELECT line, max(ds) AS seen FROM l_fc WHERE NOT is_future GROUP BY line)
+    USING (line)
+  LEFT JOIN calibration c ON c.line = f.line AND c.horizon_day = f.ds - seen""",
 }
 
 
@@ -166,6 +184,34 @@ def cv_by_horizon(spark, sf):
     return i.rounded(v.cv_by_horizon(errors_by_cutoff(spark, sf)))
 
 
+def recalibrated(spark, sf):
+    known = staged(train(spark, sf))
+    table = v.interval_calibration(v.cv_errors(known, holidays(spark)))
+    return v.calibrated(f.forecast_lines(known, holidays(spark)), table)
+
+
+@query("interval_calibration", ev(
+    f"SELECT line, horizon_day, n, {rnd('margin', 6)} AS margin FROM calibration", "calibration"))
+def interval_calibration(spark, sf):
+    return i.rounded(v.interval_calibration(errors_by_cutoff(spark, sf)), 6)
+
+
+@query("forecast_lines_calibrated", ev(
+    f"SELECT line, ds, is_future, {FC} FROM recalibrated", "recalibrated"))
+def forecast_lines_calibrated(spark, sf):
+    return i.rounded(recalibrated(spark, sf))
+
+
+@query("interval_coverage_calibrated", ev(f"""
+SELECT line, {rnd('p', 4)} AS coverage_pct, CASE WHEN p > 90 THEN 'too wide'
+  WHEN p < 70 THEN 'too narrow' ELSE 'calibrated' END AS verdict
+FROM (SELECT line, 100.0 * count(*) FILTER (y BETWEEN yhat_lower AND yhat_upper) / count(*) AS p
+      FROM l_test JOIN recalibrated USING (line, ds) GROUP BY line)""", "recalibrated"))
+def interval_coverage_calibrated(spark, sf):
+    test = f.test_part(split(spark, sf))
+    return i.rounded(v.interval_coverage(v.eval_join(test, recalibrated(spark, sf))))
+
+
 @query("residual_acf", ev(f"""
 SELECT line, lag, {rnd('acf', 6)} AS acf,
   row_number() OVER (PARTITION BY line ORDER BY abs(acf) DESC, lag) = 1 AND acf IS NOT NULL AS is_strongest,

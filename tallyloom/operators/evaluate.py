@@ -189,6 +189,51 @@ def cv_by_horizon(errors: DataFrame) -> DataFrame:
         (F.avg(F.when(F.col("y") > 0, miss / F.col("y"))) * 100).alias("mape"))
 
 
+# ---------------------------------------------------------------- calibrated intervals
+
+
+def interval_calibration(errors: DataFrame, coverage: float = 0.8, spread: int = 3,
+                         horizon: int = HORIZON) -> DataFrame:
+    """``line, horizon_day, n, margin``: the interval's half width as a share of ``yhat``,
+    from errors made on days that no fit had seen.
+
+    The score of an error of ``cv_errors`` is ``|y - yhat| / yhat``.  A horizon day takes
+    the scores of the days up to ``spread`` before and after it, as one day has a score per
+    cut-off only; the margin is the order statistic of rank ``ceil((n + 1) * coverage)``, or
+    the largest score where there are too few.  Errors without ``y`` or with ``yhat`` zero have
+    no score, and days without a score have no row.  A group has at most ``2 * spread + 1``
+    scores per cut-off: it is bounded by the calendar.
+    """
+    scores = errors.where((F.col("yhat") > 0) & F.col("y").isNotNull()).select(
+        "line", (F.abs(F.col("y") - F.col("yhat")) / F.col("yhat")).alias("_score"),
+        F.explode(F.sequence(F.greatest(F.col("horizon_day") - spread, F.lit(1)),
+                             F.least(F.col("horizon_day") + spread, F.lit(horizon))))
+        .alias("horizon_day"))
+    grouped = scores.groupBy("line", "horizon_day").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list("_score")).alias("_sorted"))
+    rank = F.least(F.ceil((F.col("n") + 1) * F.lit(coverage)), F.col("n")).cast("int")
+    return grouped.select("line", "horizon_day", "n",
+                          F.element_at("_sorted", rank).alias("margin"))
+
+
+def calibrated(forecast: DataFrame, calibration: DataFrame) -> DataFrame:
+    """The forecast with the intervals of ``interval_calibration`` over the horizon.
+
+    The history keeps its interval, and so do days and lines without a calibration.
+    """
+    own = Window.partitionBy("line")
+    last = F.max(F.when(~F.col("is_future"), F.col("ds"))).over(own)
+    days = forecast.withColumn("horizon_day", F.when(F.col("is_future"), F.datediff("ds", last)))
+    guess, margin = F.col("yhat"), F.col("margin")
+    low = F.when(margin.isNotNull(), F.greatest(guess * (1 - margin), F.lit(0.0)))
+    return (days.join(calibration.select("line", "horizon_day", "margin"),
+                      ["line", "horizon_day"], "left")
+            .withColumns({
+                "yhat_lower": F.coalesce(low, F.col("yhat_lower")),
+                "yhat_upper": F.coalesce(guess * (1 + margin), F.col("yhat_upper"))})
+            .select(*forecast.columns))
+
+
 # ---------------------------------------------------------------- verdicts
 
 

@@ -1,6 +1,7 @@
 """Shares, forecasts, evaluation, findings and the network."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -168,6 +169,56 @@ def test_rolling_evaluation_equals_single_fits(spark):
     assert v.cv_by_horizon(errors).count() == 30
 
 
+def test_calibration_takes_order_statistics_of_unseen_errors(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", h, 100.0 * (1 + float(rng.normal(0, 0.2))), 100.0)
+            for h in range(1, 11) for _ in range(7)]
+    odd = [("a", 2, None, 100.0), ("a", 2, 9.0, 0.0), ("b", 4, 110.0, 100.0)]
+    errors = spark.createDataFrame(rows + odd,
+                                   "line string, horizon_day int, y double, yhat double")
+    table = v.interval_calibration(errors, 0.8, spread=2, horizon=10)
+    got = {(r["line"], r["horizon_day"]): r for r in table.collect()}
+    for h in range(1, 11):
+        scores = sorted(abs(y - 100) / 100 for _, k, y, _ in rows if abs(k - h) <= 2)
+        rank = min(math.ceil((len(scores) + 1) * 0.8), len(scores))
+        assert got["a", h]["n"] == len(scores)
+        assert got["a", h]["margin"] == pytest.approx(scores[rank - 1])
+    # one score is its own largest; days further away have none
+    assert {k for k in got if k[0] == "b"} == {("b", h) for h in range(2, 7)}
+    assert got["b", 4]["margin"] == pytest.approx(0.1)
+    assert v.interval_calibration(errors.where("false")).count() == 0
+
+
+def test_calibrated_forecast_keeps_what_has_no_calibration(spark):
+    known = [("a", day(0), False, 50.0, 40.0, 60.0), ("b", day(0), False, 50.0, 40.0, 60.0)]
+    ahead = [(n, day(k), True, 50.0, 45.0, 55.0) for n in "ab" for k in (1, 2, 3)]
+    forecast = spark.createDataFrame(
+        known + ahead, "line string, ds date, is_future boolean, yhat double, "
+                       "yhat_lower double, yhat_upper double")
+    table = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 3.0)],
+                                  "line string, horizon_day int, margin double")
+    got = {(r["line"], r["ds"]): (r["yhat_lower"], r["yhat_upper"])
+           for r in v.calibrated(forecast, table).collect()}
+    assert len(got) == 8
+    assert got["a", day(1)] == (25.0, 75.0)
+    assert got["a", day(2)] == (0.0, 200.0)
+    assert got["a", day(3)] == got["b", day(1)] == (45.0, 55.0)
+    assert got["a", day(0)] == got["b", day(0)] == (40.0, 60.0)
+
+
+def test_calibrated_intervals_cover_days_held_out(spark):
+    rng = np.random.default_rng(11)
+    lines = {n: (400 * rng.lognormal(0, 0.3, 900)).tolist() for n in "ab"}
+    frame = f.forecast_frame(series(spark, lines))
+    errors = v.cv_errors(frame, festival(spark), initial=300)
+    split = F.lit(day(600))
+    table = v.interval_calibration(errors.where(F.col("cutoff") < split))
+    held = errors.where(F.col("cutoff") >= split).join(table, ["line", "horizon_day"])
+    inside = F.abs(F.col("y") - F.col("yhat")) <= F.col("margin") * F.col("yhat")
+    for r in held.groupBy("line").agg(F.avg(inside.cast("int")).alias("share")).collect():
+        assert 0.7 <= r["share"] <= 0.9
+
+
 # ---------------------------------------------------------------- network
 
 

@@ -56,6 +56,37 @@ def test_interpolation_of_a_hot_series_with_many_rows_per_day(spark, block):
         assert (have is None) if np.isnan(want) else have == pytest.approx(want)
 
 
+def test_interpolation_of_ties_unknown_keys_and_other_columns(spark):
+    kind = "vehicle string, date date, qty double, ingest_seq long, series string, value int"
+    df = spark.createDataFrame(
+        [("a", day(0), 1.0, 1, "x", 7), ("a", day(1), None, 2, "y", 8),
+         ("a", day(1), None, 2, "z", 9), ("a", day(2), 4.0, 3, "w", None),
+         ("a", None, 2.0, 9, "u", 1), ("b", None, 3.0, None, "t", 2),
+         ("b", day(0), None, None, "s", 3)], kind)
+    out = q.interpolate_rows(df)
+    assert out.columns == df.columns
+    got = by_key(out, "series", "qty")
+    # rows that agree in series, day and number share one value
+    assert got["y"] == got["z"] and 1 < got["y"] < 4
+    assert (got["x"], got["w"], got["u"], got["t"], got["s"]) == (1, 4, 2, 3, 3)
+    assert q.interpolate_rows(df.where("false")).count() == 0
+    unknown = df.withColumn("qty", F.lit(None).cast("double"))
+    assert q.interpolate_rows(unknown).where("qty IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_interpolation_over_many_ranges_and_segments(spark, block):
+    rng = np.random.default_rng(block)
+    values = np.where(rng.random(5000) < 0.7, np.nan, rng.integers(1, 99, 5000).astype(float))
+    rows_ = [("one", day(k // 50), None if np.isnan(x) else float(x), k)
+             for k, x in enumerate(values)]
+    df = spark.createDataFrame(rows_, "vehicle string, date date, qty double, ingest_seq long")
+    got = by_key(q.interpolate_rows(df, block_rows=block), "ingest_seq", "qty")
+    want = pd.Series(values).interpolate(method="linear", limit=3)
+    for k, x in enumerate(want):
+        assert (got[k] is None) if np.isnan(x) else got[k] == pytest.approx(x)
+
+
 def test_rows_without_a_series_lose_their_value(spark):
     df = spark.createDataFrame([(None, day(0), 5.0, 1), ("a", day(0), 6.0, 2)],
                                "vehicle string, date date, qty double, ingest_seq long")
