@@ -5,7 +5,7 @@ joined with the lines after it, until a quote closes and the whole has the wante
 fields; what does not come out so within the allowed lines is a damaged record, and the
 lines after it are read anew.  So one stray quote costs its own record and nothing else.
 A record across two splits is put together from the last lines of one and the first of the
-next.  Batches of lines without open quotes are judged by array functions alone.
+next.  Lines without open quotes are judged by array functions alone, whole batches at once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ship_by_value
+from ..session import ship_by_value, staged
 
 ship_by_value(__name__)
 
@@ -45,74 +45,75 @@ def fields_of(record: str, strict: bool = False) -> int:
 
 
 class Split:
-    """The state of one split: lines that wait for a closing quote, or for the first quote."""
-
-    def __init__(self, place: tuple, width: int, most_lines: int):
-        self.place, self.width, self.most = place, width, most_lines
-        self.open: list[tuple[int, str]] = []
-        self.head: list[tuple[int, str]] | None = [] if place[2] else None
-        self.out: list[tuple] = []
-
-    def put(self, line: int, record: str, fields: int, seam: str | None = None) -> None:
-        self.out.append((line, record, fields, seam))
-
-    def end_head(self, seam: str | None) -> None:
-        for n, text in self.head or []:
-            self.put(n, text, fields_of(text), seam)
-        self.head = None
-
-    def take(self, line: int, text: str) -> None:
-        """One more line."""
-        again = [(line, text)]
-        while again:
-            n, text = again.pop()
-            odd = text.count('"') % 2 == 1
-            if self.open:
-                self.open.append((n, text))
-                whole = "\n".join(t for _, t in self.open)
-                if odd and fields_of(whole, True) == self.width:
-                    self.end_head(None)
-                    self.put(self.open[0][0], whole, self.width)
-                    self.open = []
-                elif odd or len(self.open) > self.most:
-                    first, *rest = self.open
-                    self.open = []
-                    self.single(*first, odd=True)
-                    again += rest[::-1]
-            elif odd and fields_of(text) == -1:
-                self.open = [(n, text)]
-            else:
-                self.single(n, text, odd)
-
-    def single(self, line: int, text: str, odd: bool) -> None:
-        """A line by itself; the first stray quote of a split may end the record before."""
-        if self.head is None:
-            self.put(line, text, fields_of(text))
-            return
-        self.head.append((line, text))
-        if odd or len(self.head) > self.most:
-            self.end_head("head" if odd else None)
-
-    def end(self) -> None:
-        self.end_head(None)
-        for n, text in self.open:
-            self.put(n, text, fields_of(text), "tail")
-        self.open = []
-
-    def rows(self) -> pa.RecordBatch:
-        line, record, fields, seam = zip(*self.out) if self.out else ((), (), (), ())
-        self.out = []
-        return batch_of(self.place, pa.array(line, pa.int64()), pa.array(record, pa.string()),
-                        pa.array(fields, pa.int32()), pa.array(seam, pa.string()))
-
-
-def batch_of(place: tuple, line: pa.Array, record: pa.Array, fields: pa.Array,
-             seam: pa.Array) -> pa.RecordBatch:
-    n = len(line)
-    file, name, block = place
-    return pa.RecordBatch.from_arrays(
-        [pa.array([file] * n, pa.string()), pa.array([name] * n, pa.string()),
-         pa.array([block] * n, pa.int64()), line, record, fields, seam], list(COLUMNS))
+    """One split, fed with its lines batch by batch.
+
+    Only lines with an odd number of quotes, and the lines from such a one to the next, are
+    looked at one by one; all others are judged by array functions and leave in whole
+    batches.  ``held`` are lines that wait for a closing quote, at most ``most`` + 1 of them,
+    or the lines of the head while the first stray quote of the split is not found.
+    """
+
+    def __init__(self, width: int, most_lines: int, head: bool):
+        self.width, self.most, self.head = width, most_lines, head
+        self.held: pa.Table | None = None
+        self.at = 0                             # line of the first of the held ones
+
+    def feed(self, rows: pa.Table, last: bool) -> pa.Table | None:
+        """Records of the held lines and of ``rows(value, file, source_file, block)``;
+        None as long as the head is open."""
+        if self.held is not None:
+            rows = pa.concat_tables([self.held, rows])
+        n, value = rows.num_rows, rows.column("value").combine_chunks()
+        quotes = pc.count_substring(value, '"').to_numpy()
+        fields = pc.count_substring(value, ",").to_numpy() + 1
+        odds = np.flatnonzero(quotes % 2).tolist()
+        keep, whole = np.ones(n, bool), {}      # lines that are records; longer records
+        stray, end = None, n                    # first stray quote; from where lines wait
+        p = 0
+        while p < len(odds):
+            k = odds[p]
+            p += 1
+            fields[k] = fields_of(value[k].as_py())
+            if fields[k] == -1:
+                if p == len(odds):
+                    if n - 1 - k < self.most:   # a quote may still close
+                        end = k
+                        break
+                elif odds[p] - k <= self.most:
+                    text = "\n".join(value.slice(k, odds[p] + 1 - k).to_pylist())
+                    if fields_of(text, True) == self.width:
+                        whole[k], fields[k] = text, self.width
+                        keep[k + 1:odds[p] + 1] = False
+                        p += 1
+                        continue
+            if stray is None:
+                stray = k
+        head = 0
+        if self.head:
+            # lines up to the first stray quote, unless a longer record or more than the
+            # allowed lines come before
+            if stray is not None and stray < min(whole, default=n):
+                head = stray + 1 if stray <= self.most else 0
+            elif not whole and end <= self.most and not last:
+                self.held = rows
+                return None
+            self.head = False
+        stop = n if last else end
+        self.held = rows.slice(stop) if stop < n else None
+        for k in np.flatnonzero(keep & (quotes > 0) & (quotes % 2 == 0)).tolist():
+            fields[k] = fields_of(value[k].as_py())
+        if whole:
+            longer = np.zeros(n, bool)
+            longer[list(whole)] = True
+            value = pc.replace_with_mask(value, pa.array(longer),
+                                         pa.array(list(whole.values()), value.type))
+        seam = (pa.array(["head"] * head + [None] * (end - head) + ["tail"] * (n - end),
+                         pa.string()) if head or end < n else pa.nulls(n, pa.string()))
+        line = pa.array(np.arange(self.at, self.at + n))
+        self.at += stop
+        out = pa.table([rows.column("file"), rows.column("source_file"), rows.column("block"),
+                        line, value, pa.array(fields, pa.int32()), seam], list(COLUMNS))
+        return out.slice(0, stop).filter(pa.array(keep[:stop]))
 
 
 def in_splits(lines: DataFrame, width: int, header: list[str] | None, most_lines: int
@@ -121,50 +122,34 @@ def in_splits(lines: DataFrame, width: int, header: list[str] | None, most_lines
     header = header and [header[0].lstrip(BOM), *header[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, at = None, 0
+        split = place = ahead = None            # ahead: the rows that come next
+
+        def fed(last: bool) -> list[pa.RecordBatch]:
+            out = split.feed(ahead, last)
+            return [] if out is None else out.to_batches()
+
         for batch in batches:
-            value = batch.column("value")
-            file, name, block = (batch.column(c) for c in ("file", "source_file", "block"))
-            quotes = pc.count_substring(value, '"').to_numpy(zero_copy_only=False)
-            commas = pc.count_substring(value, ",").to_numpy(zero_copy_only=False)
-            starts = block.to_numpy()
+            rows = pa.Table.from_batches([batch])
+            file, starts = batch.column("file"), batch.column("block").to_numpy()
             same = pc.equal(file.slice(1), file.slice(0, max(0, len(file) - 1))).to_numpy(
                 zero_copy_only=False) & (starts[1:] == starts[:-1])
-            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), len(value)]
+            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), len(file)]
             for a, b in zip(edges[:-1], edges[1:]):
                 if a == b:
                     continue
-                place = file[a].as_py(), name[a].as_py(), block[a].as_py()
-                if split is None or split.place != place:
-                    if split is not None:
-                        split.end()
-                        yield split.rows()
-                    split, at = Split(place, width, most_lines), 0
-                    if place[2] == 0:           # the header of the file
-                        found = next(csv.reader([value[a].as_py()]), [])
+                here = file[a].as_py(), int(starts[a])
+                if ahead is not None:
+                    yield from fed(here != place)
+                if here != place:
+                    split, place = Split(width, most_lines, here[1] != 0), here
+                    if here[1] == 0:            # the header of the file
+                        found = next(csv.reader([batch.column("value")[a].as_py()]), [])
                         if header is not None and found != header:
-                            raise ValueError(f"columns of {place[0]}: {found}, wanted: {header}")
-                        a, at = a + 1, 1
-                i = a
-                while i < b:
-                    odd = np.flatnonzero(quotes[i:b] % 2)
-                    stop = i + int(odd[0]) if len(odd) else b
-                    if not split.open and split.head is None and stop > i:
-                        count = commas[i:stop] + 1
-                        for k in np.flatnonzero(quotes[i:stop]).tolist():
-                            count[k] = fields_of(value[i + k].as_py())
-                        if split.out:
-                            yield split.rows()
-                        yield batch_of(place, pa.array(np.arange(at, at + stop - i)),
-                                       value.slice(i, stop - i), pa.array(count, pa.int32()),
-                                       pa.nulls(stop - i, pa.string()))
-                        at, i = at + stop - i, stop
-                    else:
-                        split.take(at, value[i].as_py())
-                        at, i = at + 1, i + 1
-        if split is not None:
-            split.end()
-            yield split.rows()
+                            raise ValueError(f"columns of {here[0]}: {found}, wanted: {header}")
+                        a, split.at = a + 1, 1
+                ahead = rows.slice(a, b - a)
+        if ahead is not None:
+            yield from fed(True)
 
     return lines.mapInArrow(run, SCHEMA)
 
@@ -176,14 +161,15 @@ def records(lines: DataFrame, width: int, header: list[str] | None, most_lines:
 
     ``reason`` is null for records of ``width`` fields.  ``line`` counts lines of a block.
     The first line of a file is its header, checked unless ``header`` is None.  Blank lines
-    between records are left out.  The seams of splits take a second reading of the lines;
-    each seam has ``most_lines`` lines at most on either side.
+    between records are left out.  The lines are read once, and what the splits hold is
+    staged: the seams, with ``most_lines`` lines at most on either side, and the records of
+    whatever kind are then scans.
     """
-    found = in_splits(lines, width, header, most_lines)
+    found = staged(in_splits(lines, width, header, most_lines))
     ends = found.where("seam IS NOT NULL").groupBy("file", "source_file", "block", "seam").agg(
         F.array_sort(F.collect_list(F.struct("line", "record", "fields"))).alias("part"))
     # the splits that have an end of either kind, next to each other
-    blocks = lines.groupBy("file", "block").agg(F.lit(1).alias("one")).select(
+    blocks = found.select("file", "block").distinct().select(
         "file", "block", F.lead("block").over(
             Window.partitionBy("file").orderBy("block")).alias("next"))
     tails = ends.where("seam = 'tail'").join(blocks, ["file", "block"])

@@ -3,6 +3,7 @@
 import csv
 import io
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -96,3 +97,37 @@ def test_a_record_has_a_bound(spark, tmp_path):
 def test_fields():
     assert records.fields_of('a,"b,c",d') == 3 and records.fields_of('a,"b') == -1
     assert records.fields_of('a,"b"x,c') == 3 and records.fields_of("") == 0
+
+
+class Batches:
+    """Stands for a frame of lines: runs a function over their batches."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_stray_quotes_do_not_cut_batches():
+    lines = ['1,"x,2' if k % 10 == 3 else '1,"x' if k % 10 == 6 else 'y",2' if k % 10 == 7
+             else "1,x,2" for k in range(5000)]
+    given = [pa.RecordBatch.from_arrays(
+        [pa.array(lines[a:a + 1000]), pa.array(["f"] * 1000), pa.array(["f"] * 1000),
+         pa.array([97] * 1000, pa.int64())], ["value", "file", "source_file", "block"])
+        for a in range(0, 5000, 1000)]
+    out = records.in_splits(Batches(given), 3, None, 64)
+    assert len(out) <= len(given)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["line"] for r in rows] == [k for k in range(5000) if k % 10 != 7]
+    assert all(r["record"] == ('1,"x\ny",2' if r["line"] % 10 == 6 else lines[r["line"]])
+               for r in rows)
+    assert [r["line"] for r in rows if r["seam"]] == [0, 1, 2, 3]
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text(HEAD + '1,x,2\n3\n4,"x,5\n')
+    good, bad = tables.scan_csv_rejects(spark, str(path), THREE)
+    for frame in (good, bad):
+        assert frame.inputFiles() and all(f.endswith(".parquet") for f in frame.inputFiles())
