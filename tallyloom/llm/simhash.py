@@ -382,13 +382,17 @@ def set_prints(docs: DataFrame, *, key: str, text: str, words: int, lanes: int)
     shingle set and the fingerprint of that set, in which repeats do not count."""
     kind = dict(docs.dtypes)[key]
 
+    def named(found: np.ndarray) -> tuple[int, list[int]]:
+        return set_id(found), majority([found], lanes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
-            found = np.array([majority([s], lanes) for s in sets], "<i8").reshape(-1, lanes)
+            # a batch's sets together would be larger than its texts
+            both = [named(shingle_set(t.as_py(), words)) for t in batch.column("text")]
+            found = np.array([f for _, f in both], "<i8").reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("hash"),
-                 pa.array([set_id(s) for s in sets], pa.int64()),
+                 pa.array([i for i, _ in both], pa.int64()),
                  *[pa.array(found[:, k]) for k in range(lanes)]],
                 ["key", "hash", "id", *[f"f{k}" for k in range(lanes)]])
 

@@ -285,3 +285,44 @@ def test_automaton_round_trip_and_composition():
     tails = sum(len(np.unique(level[0])) for level in paths.levels[1:])
     states = sum(len(sizes) for sizes, *_ in pickle.loads(packed)[1])
     assert 2 * states < tails
+
+
+def test_one_shingle_set_at_a_time(spark, monkeypatch):
+    """A batch of texts does not hold the shingle sets of all of them."""
+    import weakref
+
+    import pyarrow as pa
+
+    from tallyloom.llm import simhash
+
+    class Texts:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.RecordBatch.from_arrays(
+                [pa.array(range(50)), pa.array(range(50)),
+                 pa.array([f"a b c d e f {k}" for k in range(50)])],
+                ["key", "hash", "text"])])))
+
+    real, alive, most = simhash.shingle_set, weakref.WeakSet(), []
+
+    class Counted(np.ndarray):
+        __hash__ = object.__hash__
+        __eq__ = object.__eq__
+
+    def counted(text, words):
+        found = real(text, words).view(Counted)
+        alive.add(found)
+        most.append(len(alive))
+        return found
+
+    monkeypatch.setattr(simhash, "shingle_set", counted)
+    (out,) = simhash.set_prints(Texts(), key="doc_id", text="text", words=5, lanes=4)
+    assert len(most) == 50 and max(most) <= 2
+    sets = [real(f"a b c d e f {k}", 5) for k in range(50)]
+    assert out.column("id").to_pylist() == [simhash.set_id(s) for s in sets]
+    assert [list(r) for r in zip(*[out.column(f"f{k}").to_pylist() for k in range(4)])] == [
+        simhash.majority([s], 4) for s in sets]
